@@ -85,8 +85,8 @@ def _unpack(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return unique, size[first], token[keep], inverse[owner[keep]]
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A region's tokens that two or more sets hold, by set, each with how many hold it."""
+def _shared(table: pa.Table, buckets: int) -> pa.Table:
+    """A region's tokens that two or more sets hold, each with how many hold it: by buckets of sets."""
     node, size, token, owner = _unpack(table.column("blob").combine_chunks())
     order = np.argsort(token)
     token, owner = token[order], owner[order]
@@ -98,8 +98,36 @@ def _shared(table: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     owner, packed = owner[order], packed[order]
     own, first, count = np.unique(owner, return_index=True, return_counts=True)
-    blobs = [packed[a : a + n].tobytes() for a, n in zip(first, count, strict=True)]
-    return pa.table({"node": pa.array(node[own], pa.int64()), "n": pa.array(size[own].astype(np.int64), pa.int64()), "shared": pa.array(count.astype(np.int64), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    bucket = (node[own].view(K.U) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    own, first, count, bucket = own[order], first[order], count[order], bucket[order]
+    ends = np.cumsum(count)
+    packed = packed[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(own)] if len(own) else [0]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = ends[a] - count[a], ends[b - 1]
+        rows.append((int(bucket[a]), node[own[a:b]].tobytes(), size[own[a:b]].astype(np.int64).tobytes(), count[a:b].astype(np.int64).tobytes(), packed[low:high].tobytes()))
+    columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(("bucket", "nodes", "sizes", "counts", "tokens"), columns, kinds, strict=True)})
+
+
+def _able(table: pa.Table) -> pa.Table:
+    """The sets of a bucket of nodes of which at least 3/4 are shared, each with its shared tokens."""
+    node, size, count, token = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c).combine_chunks()]) for c, t in (("nodes", np.int64), ("sizes", np.int64), ("counts", np.int64), ("tokens", K.U)))
+    unique, first, inverse = np.unique(node, return_index=True, return_inverse=True)
+    shared = np.zeros(len(unique), np.int64)
+    np.add.at(shared, inverse, count)
+    able = DEN * shared >= NUM * size[first]
+    owner = np.repeat(inverse, count)
+    keep = able[owner]
+    owner, token = owner[keep], token[keep]
+    order = np.argsort(owner, kind="stable")
+    token = token[order]
+    ends = np.cumsum(shared[able])
+    blobs = [token[e - n : e].tobytes() for e, n in zip(ends.tolist(), shared[able].tolist(), strict=True)]
+    return pa.table({"node": pa.array(unique[able], pa.int64()), "n": pa.array(size[first][able], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _prefix(node: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], regions: int) -> Iterator[tuple[int, bytes]]:
@@ -195,8 +223,8 @@ def _joined(table: pa.Table) -> pa.Table:
     """(node, root) of one group of sets."""
     node = table.column("node").to_numpy()
     order = np.argsort(node)
-    blobs = table.column("blobs")
-    sets = [np.frombuffer(b"".join(blobs[int(i)].as_py()), K.U) & LOW48 for i in order]
+    blobs = table.column("blob")
+    sets = [np.frombuffer(blobs[int(i)].as_buffer(), K.U) & LOW48 for i in order]
     label = _Group(table.column("n").to_numpy()[order], sets).join()
     node = node[order]
     return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(node[label], pa.int64())})
@@ -217,7 +245,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
 def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """(node, root) of the sets that link to another one; root is the smallest node of a component."""
     spark = docs.sparkSession
-    regions = max(4, parts(spark) // 2)
+    regions = parts(spark)
 
     def deal(batches):
         seen: set[int] = set()  # equal sets leave a task once
@@ -238,18 +266,13 @@ def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text") -> Data
     def rarest(batches):
         for b in batches:
             size = b.column(1).to_numpy()
-            out = list(_prefix(b.column(0).to_numpy(), size, [np.frombuffer(b"".join(x), K.U) for x in b.column(2).to_pylist()], regions))
+            out = list(_prefix(b.column(0).to_numpy(), size, [np.frombuffer(x.as_buffer(), K.U) for x in b.column(2)], regions))
             if out:
                 yield pa.record_batch({"region": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
     dealt = batched(docs.select(text)).mapInArrow(deal, "region int, blob binary")
-    held = dealt.groupBy("region").applyInArrow(_shared, "node long, n long, shared long, blob binary")
-    able = (
-        held.groupBy("node", "n")
-        .agg(F.sum("shared").alias("shared"), F.collect_list("blob").alias("blobs"))
-        .where(F.col("shared") * DEN >= F.col("n") * NUM)
-        .select("node", "n", "blobs")
-    )
+    held = dealt.groupBy("region").applyInArrow(lambda t: _shared(t, regions), "bucket int, nodes binary, sizes binary, counts binary, tokens binary")
+    able = held.groupBy("bucket").applyInArrow(_able, "node long, n long, blob binary")
     able = cut(able)
     near = able.mapInArrow(rarest, "region int, blob binary").groupBy("region").applyInArrow(_near, "a long, b long")
     groups = links.components(near).select("node", F.col("root").alias("g"))
