@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled together until their bytes pass this; one longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -6,7 +6,8 @@ groups that are still equal go on:
 1. by a gram at anchor positions. A window's anchor is the smallest gram hash in it, so equal windows have
    equal anchors at equal places and other suffixes need not be ordered. Grams seen once end here.
 2. by all bytes of all windows around the anchor. Where two anchors agree, all their windows are repeated.
-3. by the full windows, only for grams around which texts differ (the edges of copied passages).
+3. by the full windows, only for grams around which texts differ (the edges of copied passages), and of
+   anchors that agree only for one.
 
 Counts travel, texts do not; grams between passes are a bitmap of fixed size, whose chance hits
 only let more suffixes into the next, exact pass.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import kernels as K
 from tidelog.llm.runtime import batched, cut, parts
 
-WINDOW, GRAM = 200, 48
+WINDOW, GRAM = 200, 128
 #: Bits of the bitmaps (2 to this power): 16 MB each.
 BITS = 27
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
@@ -47,20 +48,23 @@ def _anchors(raw: np.ndarray, off: np.ndarray, window: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(raw) < window:
         return none, none.view(K.U), none.view(K.U), none, none, prefix
-    at = np.arange(len(raw) - gram + 1)
-    hashes = K.run_hash(prefix, at, at + gram)
-    lowest = _sliding_min((hashes & ~np.uint64(0xFFFFFFFF)) | at.astype(K.U), window - gram + 1) & np.uint64(0xFFFFFFFF)
-    step = np.zeros(len(raw) + 1, np.int64)
+    n = len(raw) - gram + 1
+    order = prefix[gram:] - prefix[:n]
+    order *= K.powers(n)[1]
+    order *= np.uint64(K.INVERSE)
+    order &= np.uint64(0xFFFFFFFF00000000)
+    order |= np.arange(n, dtype=K.U)  # of equal grams the first
+    anchor = _sliding_min(order, window - gram + 1).astype(np.uint32)
     long = np.flatnonzero(np.diff(off) >= window)
-    np.add.at(step, off[long], 1)
-    np.add.at(step, off[long + 1] - window + 1, -1)
-    start = np.flatnonzero(np.cumsum(step)[:-1])
-    anchor = lowest[start].astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(start) else none
-    low, anchor = start[new], anchor[new]
-    high = start[np.append(new[1:], len(start)) - 1] if len(new) else none
-    kind = K.mix(K.run_hash(prefix, low, high + window) + (anchor - low).astype(K.U) * np.uint64(K.BASE))
-    return np.searchsorted(off, low, "right") - 1, hashes[anchor], kind, low, high, prefix
+    first, stop = off[long], off[long + 1] - window + 1
+    low = np.unique(np.concatenate([np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, first, stop]))
+    high = np.append(low[1:], len(anchor)) - 1
+    own = np.searchsorted(first, low, "right") - 1
+    keep = (own >= 0) & (low < stop[own]) if len(first) else np.zeros(len(low), bool)
+    text, low, high = long[own[keep]] if len(first) else none, low[keep], high[keep]
+    at = anchor[low].astype(np.int64)
+    kind = K.mix(K.run_hash(prefix, low, high + window) + (at - low).astype(K.U) * np.uint64(K.BASE))
+    return text, K.run_hash(prefix, at, at + gram), kind, low, high, prefix
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -129,21 +133,25 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, bi
                 yield pa.record_batch({"gram": pa.array(g.view(np.int64)), "kind": pa.array(kind.view(np.int64)), "tag": b.column(0).take(pa.array(first + text)), "low": pa.array((low - off[text]).astype(np.int64)), "high": pa.array((high - off[text]).astype(np.int64))})
 
     seen = cut(keyed.mapInArrow(around, "gram long, kind long, tag long, low long, high long"))
-    kinds = seen.groupBy("gram", "kind").agg(F.count("*").alias("n"))
+    kinds = cut(seen.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.min(F.struct("tag", "low")).alias("one")))
     whole = seen.join(kinds.where("n > 1").select("gram", "kind"), ["gram", "kind"]).select("tag", "low", "high")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    ones = kinds.join(mixed, "gram").select("one.tag", "one.low")  # the rest of a kind has the same windows
+
+    def place(tag: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return K.mix(tag.view(K.U) + low.astype(K.U) * np.uint64(K.BASE))
 
     def deal(batches):
         for b in batches:
-            yield from _deal(b.column(0).to_numpy().view(K.U), regions)
+            yield from _deal(place(b.column(0).to_numpy(), b.column(1).to_numpy()), regions)
 
-    differ = share(_bitmap(batched(mixed).mapInArrow(deal, "region int, blob binary"), 1, bits))
+    differ = share(_bitmap(batched(ones).mapInArrow(deal, "region int, blob binary"), 1, bits))
 
     def each(batches):
         for b in batches:
             for first, _, raw, off in K.chunks(b.column(1)):
-                text, g, _, low, high, prefix = _anchors(raw, off, window, gram)
-                keep = _in(differ.value, g, bits)
+                text, _, _, low, high, prefix = _anchors(raw, off, window, gram)
+                keep = _in(differ.value, place(b.column(0).to_numpy()[first + text], low - off[text]), bits)
                 text, low, n = text[keep], low[keep], (high - low + 1)[keep]
                 ends = np.cumsum(n)
                 start = np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
@@ -178,13 +186,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     touched = spark.sparkContext.broadcast(_bitmap(ranges.select("tag").mapInArrow(deal, "region int, blob binary"), 1, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def part(hit: bool):
-        def pick(batches):
-            for b in batches:
-                at = np.flatnonzero(_in(touched.value, K.mix(b.column(1).to_numpy().view(K.U)), bits) == hit)
-                yield b.take(pa.array(at))
+    def hit(tags: pa.Array) -> np.ndarray:
+        return _in(touched.value, K.mix(tags.to_numpy().view(K.U)), bits)
+
+    def pick(batches):
+        for b in batches:
+            yield b.take(pa.array(np.flatnonzero(hit(b.column(1)))))
 
-        return batched(keyed).mapInArrow(pick, f"doc_id {kind}, tag long, text string")
+    def untouched(batches):
+        for b in batches:
+            yield from finish([b.take(pa.array(np.flatnonzero(~hit(b.column(1))))).select(["doc_id", "text"])])
 
     def finish(batches):
         for b in batches:
@@ -208,6 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
             yield pa.record_batch({"doc_id": b.column(0), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
 
     out = f"doc_id {kind}, n_bytes long, spans array<struct<start:long,bytes:long>>, kept binary"
-    plain = part(False).select("doc_id", "text").mapInArrow(finish, out)
-    cutout = part(True).join(ranges, "tag", "left").select("doc_id", "text", "ranges").mapInArrow(finish, out)
+    plain = batched(keyed).mapInArrow(untouched, out)
+    picked = keyed.mapInArrow(pick, f"doc_id {kind}, tag long, text string")
+    cutout = picked.join(ranges, "tag", "left").select("doc_id", "text", "ranges").mapInArrow(finish, out)
     return plain.union(cutout)

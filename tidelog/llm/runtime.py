@@ -1,14 +1,15 @@
-"""What the corpus operators share: session settings, checkpoints and a global row number."""
+"""What the corpus operators share: session settings, written tables and a global row number."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that go to a Python worker at once. They bound a worker's memory, not the result.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut by a table written to the shared folder, which outlives executors.
+
+    The table is columnar and compressed, unlike a checkpoint of rows. It is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def batched(df: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
     The range sort deals rows out by all order columns, so a value that a third of the rows
     share still spreads if a later order column tells them apart. The sorted rows are
-    checkpointed, since a second run of the sort could cut its ranges elsewhere; callers pass narrow rows.
+    written, since a second run of the sort could cut its ranges elsewhere; callers pass narrow rows.
     """
     n = parts(df.sparkSession)
     local = cut(
