@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A run of 16 characters or more with a digit, or what is quoted after a name that says so.
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
-    r"|(?<=(?i:passw|pwd|secret|token|apikey|api_key)[A-Za-z_]{0,8}\"?\s{0,2}[=:]\s{0,2}[\"'])[^\s\"']{8,}"
+    r"|(?<=[\"'])(?<=(?i:passw|pwd|secret|token|apikey|api_key)[A-Za-z_]{0,8}\"?\s{0,2}[=:]\s{0,2}[\"'])[^\s\"']{8,}"
 )
 #: Characters before and after a candidate that its neighbouring words are taken from.
 NEAR = 40
