@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import kernels as K
-from tidelog.llm.runtime import batched
+from tidelog.llm.runtime import batched, sampled
 
-#: Rows of each kind that the fit takes at most, the first by a hash of the text.
+#: Rows of each kind that the fit takes at most, the first by a hash of key and text.
 FIT_ROWS = 20_000
 HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-4
 N_FEATURES = 18
@@ -113,20 +113,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | N
     """A model from docs (doc_id, text), which are the unlabelled text, and labels (doc_id, quality).
 
     Trusted positives are texts labelled 1. The prior is estimated as the share of 1 among the
-    labels. At most `rows` positives and `rows` unlabelled texts, the first by a hash of the text, go to the
+    labels. At most `rows` positives and `rows` unlabelled texts, the first by a hash of key and text, go to the
     fit; None without a positive or without a text. Null keys, texts and labels are left out.
     """
     labels = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null")
     prior = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     texts = docs.select("doc_id", "text").where("text is not null")
 
+    good_ids = labels.where("quality = 1").select("doc_id").distinct()
+
     def some(df: DataFrame) -> np.ndarray:
-        picked = df.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(rows)
-        got = [r["features"] for r in _featured(picked.select("text")).collect()]
-        return np.array(got).reshape(-1, N_FEATURES)
+        got = _featured(df.select("__h", "text")).orderBy("__h", "features").limit(rows).collect()
+        return np.array([r["features"] for r in got]).reshape(-1, N_FEATURES)
 
-    good = some(texts.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
-    every = some(texts)
+    good = some(sampled(texts, rows, good_ids.count(), "doc_id", "text").join(good_ids, "doc_id", "left_semi"))
+    every = some(sampled(texts, rows, texts.count(), "doc_id", "text"))
     if not len(good) or not len(every):
         return None
     return fit(good, every, min(max(prior, 0.01), 0.99))
