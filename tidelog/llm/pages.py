@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import batched
+from tidelog.llm.runtime import batched, sampled
 
 #: Labelled pages that the weights are learnt from at most, the first by hash, and their greatest length.
 FIT_PAGES, FIT_CHARS = 400, 200_000
@@ -206,9 +206,9 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def train(pages: DataFrame, limit: int = FIT_PAGES) -> Weights:
-    """Weights from at most `limit` pages that mark their article themselves, the first by a hash of the page."""
+    """Weights from at most `limit` pages that mark their article themselves, the first by a hash of page and key."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= FIT_CHARS))
-    rows = marked.select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(limit).collect()
+    rows = sampled(marked, limit, marked.count(), "page_id", "html").select("__h", "html").orderBy("__h", "html").limit(limit).collect()
     return learn([r["html"] for r in rows])
 
 
