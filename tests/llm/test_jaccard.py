@@ -82,3 +82,21 @@ def test_many_near_copies_of_one_text(spark):
         rows.append((i, " ".join(w)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 600
+
+
+@pytest.mark.parametrize("group_bytes", [30_000, 6_000])
+def test_groups_beyond_one_task(spark, group_bytes):
+    """Chains of edits, each set near the one before only, with copies of a text and strangers that share a passage."""
+    rnd = random.Random(9)
+    rows, w = [], [f"t{i}" for i in range(40)]
+    for i in range(150):
+        rows.append((i, " ".join(w)))
+        w = list(w)
+        w[rnd.randrange(40)] = f"n{i}" if i % 50 == 49 else rnd.choice(["red", "blue", "green"])
+    base = rows[70][1].split()
+    for i in range(80):
+        v = list(base)
+        v[i % 40] = f"e{i % 7}"
+        rows.append((200 + i, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, group_bytes=group_bytes).collect())) == brute(rows)

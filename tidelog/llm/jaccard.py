@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import kernels as K
@@ -34,6 +34,10 @@ NUM, DEN = 3, 4
 #: Groups up to so many sets are compared set by set.
 LEAF = 48
 PIVOTS = 12
+#: Bytes of shingles that one task joins at most; a larger group is parted over tasks first.
+GROUP_BYTES = 48 << 20
+#: Bytes of pivots that are broadcast together.
+PIVOT_BYTES = 32 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -242,7 +246,115 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     return batched(docs.select(key, text)).mapInArrow(scan, f"key {kind}, node long, n_shingles long").withColumnRenamed("key", key)
 
 
-def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
+def _pivot_tables(rows: DataFrame, ranks: DataFrame) -> Iterator[dict]:
+    """Pivot sets of groups, {group: (nodes, sizes, sets, component of each)}, at most PIVOT_BYTES at a time."""
+    picked = rows.join(ranks, ["g", "node"]).select("g", "node", "n", "blob").distinct().orderBy("g", "node")
+    found: dict = {}
+    held = 0
+    for r in picked.toLocalIterator():
+        if held > PIVOT_BYTES and r["g"] not in found:
+            yield found
+            found, held = {}, 0
+        found.setdefault(r["g"], []).append((r["node"], r["n"], np.frombuffer(bytes(r["blob"]), K.U) & LOW48))
+        held += len(r["blob"])
+    if found:
+        yield found
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """One round of Voronoi regions for groups (g, node, n, blob) that are too large for one task.
+
+    Rows with b are links (node, b) of a set to a pivot. Rows without are a region's members: parent, g, node, n,
+    blob, and settled, the pivots' component that links already put the set into (-1: none).
+    """
+    near = Window.partitionBy("g").orderBy(F.xxhash64("node"), "node")
+    ranks = rows.select("g", "node").distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= PIVOTS).select("g", "node")
+    schema = "parent long, g long, node long, n long, blob binary, settled int, b long"
+    share = rows.sparkSession.sparkContext.broadcast
+    out = None
+    for table in _pivot_tables(rows, ranks):
+        one = {}
+        for g, sets in table.items():
+            joined = _Group(np.array([n for _, n, _ in sets]), [x for _, _, x in sets])
+            joined.leaf(np.arange(len(sets)))
+            one[g] = ([x[0] for x in sets], [x[1] for x in sets], [np.sort(x[2]) for x in sets], joined.label)
+        shared = share(one)
+
+        def part(batches, shared=shared):
+            for b in batches:
+                made = []
+                for g, node, n, blob in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    if g not in shared.value:
+                        continue
+                    pivots, sizes, sets, label = shared.value[g]
+                    own = np.frombuffer(blob, K.U) & LOW48
+                    both = np.array([(x[np.minimum(np.searchsorted(x, own), len(x) - 1)] == own).sum() for x in sets])
+                    union = np.array(sizes) + n - both
+                    far, linked = 1 - both / union, DEN * both >= NUM * union
+                    settled = int(label[linked.argmax()]) if linked.any() else -1
+                    made += [(None, None, node, None, None, None, p) for p, k in zip(pivots, linked, strict=True) if k and p != node]
+                    for j in np.flatnonzero(far <= far.min() + 2 * (1 - NUM / DEN) + 1e-9):
+                        region = int(K.mix(np.array([g], np.int64).view(K.U) + np.uint64(j + 1)).view(np.int64)[0])
+                        made.append((g, region, node, n, blob, settled, None))
+                columns = list(zip(*made, strict=True)) or [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["parent", "g", "node", "n", "blob", "settled", "b"])
+
+        done = batched(rows.select("g", "node", "n", "blob")).mapInArrow(part, schema)
+        out = done if out is None else out.union(done)
+    return cut(out)
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, group_bytes: int) -> DataFrame:
+    """Regions that pivots do not part, as pairs of blocks that each fit a task.
+
+    Most sets of such a region are settled in one component and need not meet each other: they are dealt once over
+    blocks, each of which meets the blocks of the other sets.
+    """
+    half = max(1, group_bytes // 2)
+    rows = rows.join(sizes.select("g", "mode", F.ceil(F.col("loose") / half).cast("int").alias("nu"), F.greatest(F.lit(1), F.ceil((F.col("bytes") - F.col("loose")) / half)).cast("int").alias("nl")), "g")
+    rows = rows.withColumn("loose", F.col("settled") != F.col("mode")).withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("loose"), F.col("nu")).otherwise(F.col("nl"))).cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("at", j).alias("x"), F.greatest("at", j).alias("y")))
+    with_settled = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda k: F.struct(F.lit(1).alias("kind"), F.col("at").alias("x"), k.alias("y")))
+    settled = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("x"), F.col("at").alias("y")))
+    pairs = F.explode(F.when(F.col("loose"), F.concat(own, with_settled)).otherwise(settled))
+    return rows.withColumn("pair", pairs).select(F.xxhash64("g", "pair.kind", "pair.x", "pair.y").alias("g"), "node", "n", "blob")
+
+
+def _large(rows: DataFrame, group_bytes: int) -> DataFrame:
+    """Links (a, b) that connect the sets of large groups (g, node, n, blob) as all their links would."""
+    found = None
+
+    def keep(edges: DataFrame) -> None:
+        nonlocal found
+        found = edges if found is None else found.union(edges)
+
+    def local(groups: DataFrame) -> None:
+        keep(groups.select("g", "node", "n", "blob").groupBy("g").applyInArrow(_joined, "node long, root long").toDF("a", "b"))
+
+    while True:
+        size = F.length("blob").cast("long")
+        rows = cut(rows)
+        parent = rows.groupBy(F.col("g").alias("parent")).agg(F.sum(size).alias("whole"))
+        done = _parted(rows)
+        keep(done.where("b is not null").select(F.col("node").alias("a"), "b"))
+        members = done.where("b is null").drop("b")
+        sizes = members.groupBy("g", "parent").agg(F.sum(size).alias("bytes"), F.mode("settled", True).alias("mode"), F.min("settled").alias("low"), F.max("settled").alias("high"))
+        # a region whose sets are all in one component already needs no look
+        sizes = cut(sizes.where("low <> high or low = -1").join(parent, "parent"))
+        small = sizes.where(F.col("bytes") <= group_bytes).select("g")
+        local(members.join(small, "g"))
+        stuck = sizes.where((F.col("bytes") > group_bytes) & (F.col("bytes") > 0.9 * F.col("whole"))).select("g", "bytes", "mode")
+        loose = members.join(stuck, "g").groupBy("g").agg(F.sum(F.when(F.col("settled") != F.col("mode"), size).when(F.col("mode") == -1, size).otherwise(0)).alias("loose"))
+        stuck = stuck.join(loose, "g").where("loose > 0").withColumn("mode", F.when(F.col("mode") == -1, -2).otherwise(F.col("mode")))
+        local(_in_blocks(members.join(stuck.select("g"), "g", "left_semi"), stuck, group_bytes))
+        going = sizes.where((F.col("bytes") > group_bytes) & (F.col("bytes") <= 0.9 * F.col("whole"))).select("g")
+        if going.isEmpty():
+            return found
+        rows = members.join(going, "g", "left_semi").select("g", "node", "n", "blob")
+
+
+def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(node, root) of the sets that link to another one; root is the smallest node of a component."""
     spark = docs.sparkSession
     regions = parts(spark)
@@ -276,19 +388,25 @@ def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text") -> Data
     able = cut(able)
     near = able.mapInArrow(rarest, "region int, blob binary").groupBy("region").applyInArrow(_near, "a long, b long")
     groups = links.components(near).select("node", F.col("root").alias("g"))
-    return able.join(groups, "node").groupBy("g").applyInArrow(_joined, "node long, root long")
+    weights = able.select("node", F.length("blob").cast("long").alias("bytes")).join(groups, "node").groupBy("g").agg(F.sum("bytes").alias("bytes"))
+    large = cut(weights.where(F.col("bytes") > group_bytes).select("g"))
+    members = able.join(groups, "node")
+    if large.isEmpty():
+        return members.groupBy("g").applyInArrow(_joined, "node long, root long")
+    small = members.join(large, "g", "left_anti").groupBy("g").applyInArrow(_joined, "node long, root long")
+    return links.components(small.toDF("a", "b").union(_large(members.join(large, "g", "left_semi").select("g", "node", "n", "blob"), group_bytes)))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each document: key, n_shingles, component_id (the smallest key that links reach).
 
     Two documents link when their sets of `words`-word shingles are at least 3/4 alike. Null and
     wordless texts have empty sets and are their own component; a text of fewer words is one
-    shingle. Equal texts link at any size. Rows that repeat are kept; a null key never is a component's name
+    shingle. Groups of more than group_bytes of shingles are joined by several tasks. Equal texts link at any size. Rows that repeat are kept; a null key never is a component's name
     unless it has no other. An empty table gives an empty one. Other columns are not read.
     """
     sets = shingle_sets(docs, words, key, text)
-    root = sets.join(linked_sets(docs, words, text), "node", "left").select(
+    root = sets.join(linked_sets(docs, words, text, group_bytes), "node", "left").select(
         key, "n_shingles", F.coalesce("root", "node").alias("root")
     )
     names = root.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("name"))
