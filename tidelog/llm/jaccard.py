@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     shingle. Groups of more than group_bytes of shingles are joined by several tasks. Equal texts link at any size. Rows that repeat are kept; a null key never is a component's name
     unless it has no other. An empty table gives an empty one. Other columns are not read.
     """
-    sets = shingle_sets(docs, words, key, text)
+    sets = cut(shingle_sets(docs, words, key, text))  # narrow, and read twice below
     root = sets.join(linked_sets(docs, words, text, group_bytes), "node", "left").select(
         key, "n_shingles", F.coalesce("root", "node").alias("root")
     )
