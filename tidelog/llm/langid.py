@@ -19,7 +19,8 @@ from tidelog.llm.runtime import batched
 
 #: The tables of all languages together take at most so many bytes; the alphabet is cut to fit.
 TABLE_BYTES, ALPHABET = 64 << 20, 48
-SLICES = 8
+#: Counts that leave a task in one batch.
+COUNT_ROWS = 1 << 16
 UNKNOWN = "und"
 
 
@@ -64,25 +65,30 @@ def _alphabet(labelled: DataFrame, size: int) -> np.ndarray:
     return symbol
 
 
+def _shares(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities in contexts with counts n (last axis: symbols), given those of the next shorter contexts."""
+    total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 0, n / (total + kinds), np.where(total > 0, kinds / (total + kinds), 1) * shorter)
+
+
 def _bits(counts: np.ndarray, size: int) -> np.ndarray:
-    """Code lengths of one language from its counts of four-symbol runs."""
-    c = counts.reshape((size,) * 4).astype(np.float64)
+    """Code lengths of one language from its counts of four-symbol runs; the longest contexts by their first symbol."""
+    c = counts.reshape((size,) * 4)
     p = np.full(size, 1 / size)
-    for order in range(4):
-        n = c.sum(axis=tuple(range(3 - order)))  # contexts of this order: the last axes
-        total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(n > 0, n / (total + kinds), np.where(total > 0, kinds / (total + kinds), 1) * p)
-        if order < 3:
-            p = np.broadcast_to(p, (size,) * (order + 2))
-    return -np.log2(p).astype(np.float32).ravel()
+    for order in range(3):
+        p = _shares(c.sum(axis=tuple(range(3 - order))), p)  # contexts of this order: the last axes
+    out = np.empty((size,) * 4, np.float32)
+    for first in range(size):
+        out[first] = -np.log2(_shares(c[first], p))
+    return out.ravel()
 
 
 def train(labelled: DataFrame, alphabet: int = ALPHABET) -> Model:
     """A model from rows (text, lang). All of them are counted; null texts and null languages are not.
 
-    The driver gets, for each language, the counts of the four-symbol runs that occur: at most
-    alphabet**4 of them however many texts there are.
+    Counts are summed by run, so no task holds more than one of each. The driver gets, one language after the other,
+    the counts of the runs that occur: at most alphabet**4 of them however many texts there are.
     """
     labelled = labelled.select("text", "lang").where("lang is not null and text is not null")
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
@@ -100,25 +106,21 @@ def train(labelled: DataFrame, alphabet: int = ALPHABET) -> Model:
                 own = np.repeat(lang[first:last], np.diff(off))
                 np.add.at(n, _codes(raw, off, symbol, size) + own * np.int32(size**4), np.int32(1))
         at = np.flatnonzero(n)
-        cuts = np.searchsorted(at, [len(n) * i // SLICES for i in range(1, SLICES)])
-        for i, (a, k) in enumerate(zip(np.split(at, cuts), np.split(n[at], cuts), strict=True)):
-            if len(a):
-                yield pa.record_batch({"slice": pa.array([i], pa.int32()), "at": pa.array([a.astype(np.int64).tobytes()], pa.binary()), "n": pa.array([k.astype(np.int64).tobytes()], pa.binary())})
-
-    def total(table: pa.Table) -> pa.Table:
-        at = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("at").combine_chunks()])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("n").combine_chunks()])
-        keys, inverse = np.unique(at, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, inverse, n)
-        return pa.table({"at": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([sums.tobytes()], pa.binary())})
-
-    counts = np.zeros(len(langs) * size**4, np.int64)
-    found = batched(labelled).mapInArrow(count, "slice int, at binary, n binary").groupBy("slice").applyInArrow(total, "at binary, n binary")
-    for r in found.toLocalIterator():
-        counts[np.frombuffer(bytes(r["at"]), np.int64)] = np.frombuffer(bytes(r["n"]), np.int64)
-    counts = counts.reshape(len(langs), -1)
-    return Model(langs, symbol, size, np.stack([_bits(c, size) for c in counts]))
+        for first in range(0, len(at), COUNT_ROWS):
+            some = at[first : first + COUNT_ROWS]
+            yield pa.record_batch({"lang": pa.array((some // size**4).astype(np.int32)), "at": pa.array((some % size**4).astype(np.int32)), "n": pa.array(n[some].astype(np.int64))})
+
+    def packed(table: pa.Table) -> pa.Table:
+        at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    counted = batched(labelled).mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    bits = np.full((len(langs), size**4), np.log2(size), np.float32)  # languages whose texts are all empty keep these
+    for r in counted.groupBy("lang").applyInArrow(packed, "lang int, at binary, n binary").toLocalIterator():
+        counts = np.zeros(size**4, np.int64)
+        counts[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
+        bits[r["lang"]] = _bits(counts, size)
+    return Model(langs, symbol, size, bits)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
