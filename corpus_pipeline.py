@@ -27,12 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id. Wordless documents stay.
 
-    Rows that repeat a doc_id are told apart by their text; of wholly equal rows one stays. Rows without a doc_id all stay.
+    A row is told by doc_id and text together, so rows that share a doc_id but not their text are documents of their own;
+    of rows that share both one stays, whichever. Rows without a doc_id come after all others of their group.
     """
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    named = groups.where("component_id = doc_id or n_shingles = 0").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.select(*COLUMNS).where("doc_id is null"))
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"))
+    rows = docs.select(*COLUMNS, one.alias("one"))
+    groups = jaccard.near_duplicates(rows, key="one")
+    named = groups.where("component_id = one or n_shingles = 0").select("one").distinct()
+    return rows.join(named, "one", "left_semi").dropDuplicates(["one"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,11 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert tuple(stage(spark, docs, FOLDER).columns) == corpus_pipeline.COLUMNS
+
+
+def test_a_doc_id_may_name_several_texts(spark):
+    long = "a text of more than a few words that others hold as well"
+    rows = [(1, long), (2, long), (2, "another text that shares its number with the one before"), (2, "another text that shares its number with the one before"), (None, long), (None, "a text of its own without any number at all"), (7, "--"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "src0", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs.repartition(3), FOLDER).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
