@@ -406,10 +406,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     unless it has no other. An empty table gives an empty one. Other columns are not read.
     """
     sets = cut(shingle_sets(docs, words, key, text))  # narrow, and read twice below
-    root = sets.join(linked_sets(docs, words, text, group_bytes), "node", "left").select(
-        key, "n_shingles", F.coalesce("root", "node").alias("root")
+    root = cut(
+        sets.join(linked_sets(docs, words, text, group_bytes), "node", "left").select(
+            key, "n_shingles", F.coalesce("root", "node").alias("root")
+        )
     )
-    names = root.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("name"))
+    # written too: a join of two written tables on a root that many rows share can be split over tasks
+    names = cut(root.where("n_shingles > 0").groupBy("root").agg(F.min(key).alias("name")))
     return root.join(names, "root", "left").select(
         key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col(key)).alias("component_id")
     )

@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node that it reaches.
 
     Alternating large-star and small-star rounds; each takes the smallest neighbour by a
-    partially aggregated minimum and joins it back, so a node of any degree is never gathered.
+    partially aggregated minimum and joins it back. Both sides of these joins are written tables, so adaptive
+    execution can split a node of any degree over tasks (a minimum computed in the join's own stage would prevent that).
     The rounds end when the edges no longer change. Loops and repeated edges are allowed; null nodes are left out.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -26,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _digest(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         e = cut(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -41,6 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         if was == mark:
             break
     roots = nodes.select(F.col("b").alias("node")).union(nodes.select("a")).distinct()
-    return roots.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root")
-    )
+    found = roots.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return cut(found.select("node", F.coalesce("root", "node").alias("root")))
