@@ -69,3 +69,39 @@ def test_without_languages_or_rows(spark):
     df = spark.createDataFrame([(1, "word")], "doc_id long, text string")
     assert [tuple(r) for r in langid.identify(df, model).collect()] == [(1, "word", "und", 0.0)]
     assert langid.identify(none, model).collect() == []
+
+
+def test_every_byte_has_its_own_cost(spark):
+    """With 20 languages, each byte counts: two languages that differ in a rare byte only are told apart by it."""
+    rows = [("abcdefghijklmnopqrstuvwxyz 0123456789 äëïöüßñçéèêíóú " * 3, f"l{i:02}") for i in range(20)]
+    rows += [("zahl 7", "l07"), ("zahl 8", "l08")] * 5
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.size == 256 and len(set(model.symbol[:255].tolist()) - {0}) == 255
+    tests = [("zahl 7", "l07"), ("zahl 8", "l08")]
+    got = langid.identify(spark.createDataFrame(tests, "text string, lang string"), model).collect()
+    assert [(r.text, r.lang_pred) for r in got] == tests
+
+    data = rows[7][0].encode()
+    counts = {}
+    for t, own in rows:
+        if own == "l07":
+            s = [0, 0, 0] + [b + 1 for b in t.lower().encode()]
+            for i in range(3, len(s)):
+                for order in range(4):
+                    counts.setdefault(tuple(s[i - order : i]), Counter())[s[i]] += 1
+    look = type("D", (dict,), {"__missing__": lambda self, k: Counter()})(counts)
+    for t in (data, "zahl 7 ÿ 𝄞 %&".encode()):
+        raw = np.frombuffer(t, np.uint8)
+        code = langid._codes(raw, np.array([0, len(raw)]), model.symbol, model.size)
+        assert math.isclose(model.bits[7][code].sum(dtype=float), brute_bits(model, look, t), rel_tol=1e-4)
+
+
+def test_counts_that_leave_a_task_early(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(text(rnd, lang, 20), lang) for lang in ["aa", "bb", "cc"] * 30]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    whole = langid.train(df)
+    monkeypatch.setattr(langid, "HELD_RUNS", 50)
+    parted = langid.train(df)
+    for a, b in zip(whole.bits, parted.bits, strict=True):
+        assert all((x == y).all() for p, q in zip(a.orders, b.orders, strict=True) for x, y in zip(p, q, strict=True))

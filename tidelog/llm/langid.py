@@ -17,23 +17,69 @@ from pyspark.sql import functions as F
 from tidelog.llm import kernels as K
 from tidelog.llm.runtime import batched
 
-#: The tables of all languages together take at most so many bytes; the alphabet is cut to fit.
-TABLE_BYTES, ALPHABET = 64 << 20, 48
+#: Every byte is a symbol of its own.
+ALPHABET = 256
 #: Counts that leave a task in one batch.
 COUNT_ROWS = 1 << 16
+#: Distinct runs that a task holds before they leave it; the rest of their counts follow as rows of their own.
+HELD_RUNS = 1 << 21
 UNKNOWN = "und"
 
 
+class Lengths:
+    """Code lengths in bits of one language: for each order the runs that occur, sorted, and the escapes of their contexts.
+
+    at and n are the runs of four symbols that occur and their counts; a run is a number with its last symbol as last digit.
+    """
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, size: int):
+        self.size, self.orders = size, []
+        for order in (3, 2, 1, 0):
+            run, where = np.unique(at.astype(np.int64) % size ** (order + 1), return_inverse=True)
+            seen = np.bincount(where, n, len(run))
+            context, first, kinds = np.unique(run // size, return_index=True, return_counts=True)
+            total = np.add.reduceat(seen, first) if len(run) else seen
+            bits = np.log2(np.repeat(total + kinds, kinds)) - np.log2(seen)
+            self.orders.append((run.astype(np.uint32), bits.astype(np.float32), context.astype(np.uint32), (np.log2(total + kinds) - np.log2(kinds)).astype(np.float32)))
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """Lengths of codes; sorted ones are found fastest."""
+        out, left = np.zeros(len(code)), np.arange(len(code))
+        code = code.astype(np.int64)
+        for order, (run, bits, context, escape) in zip((3, 2, 1, 0), self.orders, strict=True):
+            own = code[left] % self.size ** (order + 1)
+            found, at = _find(run, own)
+            out[left[found]] += bits[at[found]]
+            left, own = left[~found], own[~found]
+            found, at = _find(context, own // self.size)
+            out[left[found]] += escape[at[found]]
+        out[left] += np.log2(self.size)
+        return out
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        one, where = np.unique(code, return_inverse=True)
+        return self.of(one)[where]
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values the sorted table holds, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    values = values.astype(table.dtype)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
 class Model:
-    """Code lengths in bits, bits[language, (((a * size) + b) * size + c) * size + symbol]."""
+    """Code lengths in bits, bits[language][(((a * size) + b) * size + c) * size + symbol]."""
 
-    def __init__(self, langs: list, symbol: np.ndarray, size: int, bits: np.ndarray):
+    def __init__(self, langs: list, symbol: np.ndarray, size: int, bits: list[Lengths]):
         self.langs, self.symbol, self.size, self.bits = langs, symbol, size, bits
 
 
 def _codes(raw: np.ndarray, off: np.ndarray, symbol: np.ndarray, size: int) -> np.ndarray:
     """Each byte with the three before it in its text (symbol 0 before the first) as one number."""
-    s = symbol[K.lower_ascii(raw)].astype(np.int32)
+    s = symbol[K.lower_ascii(raw)].astype(np.uint32)
     code, weight = s.copy(), size
     for back in (1, 2, 3):
         shifted = np.zeros_like(s)
@@ -47,7 +93,9 @@ def _codes(raw: np.ndarray, off: np.ndarray, symbol: np.ndarray, size: int) -> n
 
 
 def _alphabet(labelled: DataFrame, size: int) -> np.ndarray:
-    """The most frequent bytes have symbols of their own; all others share 0."""
+    """Symbols from 1, as 0 stands before a text. Of fewer than 256 the most frequent bytes have their own and all others share 0."""
+    if size == 256:
+        return np.arange(1, 257).astype(np.uint8)  # 0xFF, which is in no UTF-8 text, is 0
 
     def count(batches):
         n = np.zeros(256, np.int64)
@@ -65,61 +113,61 @@ def _alphabet(labelled: DataFrame, size: int) -> np.ndarray:
     return symbol
 
 
-def _shares(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities in contexts with counts n (last axis: symbols), given those of the next shorter contexts."""
-    total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, n / (total + kinds), np.where(total > 0, kinds / (total + kinds), 1) * shorter)
-
-
-def _bits(counts: np.ndarray, size: int) -> np.ndarray:
-    """Code lengths of one language from its counts of four-symbol runs; the longest contexts by their first symbol."""
-    c = counts.reshape((size,) * 4)
-    p = np.full(size, 1 / size)
-    for order in range(3):
-        p = _shares(c.sum(axis=tuple(range(3 - order))), p)  # contexts of this order: the last axes
-    out = np.empty((size,) * 4, np.float32)
-    for first in range(size):
-        out[first] = -np.log2(_shares(c[first], p))
-    return out.ravel()
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its n."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def train(labelled: DataFrame, alphabet: int = ALPHABET) -> Model:
     """A model from rows (text, lang). All of them are counted; null texts and null languages are not.
 
-    Counts are summed by run, so no task holds more than one of each. The driver gets, one language after the other,
-    the counts of the runs that occur: at most alphabet**4 of them however many texts there are.
+    Counts are summed by run. The driver gets, one language after the other, the counts of the runs that occur
+    and keeps these only, so its tables grow with the kinds of runs and not with the texts or the alphabet.
     """
     labelled = labelled.select("text", "lang").where("lang is not null and text is not null")
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not langs:
-        return Model([], np.zeros(256, np.uint8), 1, np.zeros((0, 1), np.float32))
-    size = max(2, min(alphabet, int((TABLE_BYTES / (4 * len(langs))) ** 0.25)))
+        return Model([], np.zeros(256, np.uint8), 1, [])
+    size = max(2, min(alphabet, ALPHABET))
     symbol = _alphabet(labelled, size)
     number = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
-        n = np.zeros(len(langs) * size**4, np.int32)
+        keys, counts, held = [], [], 0  # a key is a language and a run
+
+        def rows(key, n):
+            for first in range(0, len(key), COUNT_ROWS):
+                some = key[first : first + COUNT_ROWS]
+                yield pa.record_batch({"lang": pa.array((some >> 32).astype(np.int32)), "at": pa.array(some & 0xFFFFFFFF), "n": pa.array(n[first : first + COUNT_ROWS])})
+
         for b in batches:
-            lang = np.array([number[x] for x in b.column(1).to_pylist()], np.int32)
+            lang = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
             for first, last, raw, off in K.chunks(b.column(0)):
-                own = np.repeat(lang[first:last], np.diff(off))
-                np.add.at(n, _codes(raw, off, symbol, size) + own * np.int32(size**4), np.int32(1))
-        at = np.flatnonzero(n)
-        for first in range(0, len(at), COUNT_ROWS):
-            some = at[first : first + COUNT_ROWS]
-            yield pa.record_batch({"lang": pa.array((some // size**4).astype(np.int32)), "at": pa.array((some % size**4).astype(np.int32)), "n": pa.array(n[some].astype(np.int64))})
+                key, n = np.unique(np.repeat(lang[first:last] << 32, np.diff(off)) | _codes(raw, off, symbol, size), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > HELD_RUNS:
+                    key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [key], [n], len(key)
+                    if held > HELD_RUNS // 2:
+                        yield from rows(key, n)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield from rows(*_summed(np.concatenate(keys), np.concatenate(counts)))
 
     def packed(table: pa.Table) -> pa.Table:
         at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
         return pa.table({"lang": table.column("lang").slice(0, 1), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    counted = batched(labelled).mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    bits = np.full((len(langs), size**4), np.log2(size), np.float32)  # languages whose texts are all empty keep these
+    counted = batched(labelled).mapInArrow(count, "lang int, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    none = np.zeros(0, np.int64)
+    bits = [Lengths(none, none, size)] * len(langs)  # languages whose texts are all empty keep these
     for r in counted.groupBy("lang").applyInArrow(packed, "lang int, at binary, n binary").toLocalIterator():
-        counts = np.zeros(size**4, np.int64)
-        counts[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
-        bits[r["lang"]] = _bits(counts, size)
+        bits[r["lang"]] = Lengths(np.frombuffer(r["at"], np.int64), np.frombuffer(r["n"], np.int64), size)
     return Model(langs, symbol, size, bits)
 
 
@@ -137,10 +185,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             pred, score = [], []
             for _, _, raw, off in K.chunks(b.column(b.schema.get_field_index("__text"))):
-                code = _codes(raw, off, m.symbol, m.size)
+                code, where = np.unique(_codes(raw, off, m.symbol, m.size), return_inverse=True)
                 cost = np.empty((len(m.langs), len(off) - 1))
                 for i, bits in enumerate(m.bits):
-                    cost[i] = np.diff(np.concatenate([[0.0], np.cumsum(bits[code], dtype=np.float64)])[off])
+                    cost[i] = np.diff(np.concatenate([[0.0], np.cumsum(bits.of(code)[where])])[off])
                 best = cost.argmin(0)
                 gap = np.minimum(cost - cost.min(0), 1000)
                 pred += [m.langs[i] for i in best]
