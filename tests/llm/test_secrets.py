@@ -45,3 +45,31 @@ def test_held_out_labels(spark):
 def test_one_class_only(spark):
     only = S.labelled_findings(spark, 50).where("label = 1")
     assert S.train(only).trees == []
+
+
+def test_candidates_hold_all_labelled_secrets(spark):
+    rows = [(i, r.before, r.candidate, r.after) for i, r in enumerate(S.labelled_findings(spark, 1_000, seed=3).where("label = 1").collect())]
+    df = spark.createDataFrame([(i, b + c + a) for i, b, c, a in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.candidate) for r in S.candidates(df).collect()}
+    assert [(b, c) for i, b, c, _ in rows if (i, c) not in got] == []
+
+
+def test_unquoted_and_digit_free_secrets(spark):
+    cases = {
+        "PASSWORD=hunter2!x": "hunter2!x",
+        "a: 1\nsecret: abcdEFGHijklMNOPqrst\nb: 2": "abcdEFGHijklMNOPqrst",
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIbPxRfiCYzKEYqLmNo": "wJalrXUtnFEMIbPxRfiCYzKEYqLmNo",
+        "user=me&token=q7#xW!9zLp&lang=en": "q7#xW!9zLp",
+        "private key ZkQwXvBnTrPsLmGhYcJd end": "ZkQwXvBnTrPsLmGhYcJd",
+        "see ZkQwXvBnTrPsLmGhYcJdQQxW end": "ZkQwXvBnTrPsLmGhYcJdQQxW",
+    }
+    forest = S.train(S.labelled_findings(spark))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, "secret internationalization of passwords somewhere"])], "doc_id long, text string")
+    rows = S.scan(df, forest).collect()
+    got = {(r.doc_id, r.candidate): r for r in rows}
+    for i, (t, c) in enumerate(cases.items()):
+        assert (i, c) in got and t[got[i, c].start :].startswith(c)
+    assert all(got[i, c].is_secret for i, c in enumerate([*cases.values()][:5]))
+    assert not any(r.is_secret for r in rows if r.doc_id == len(cases))
+    long = spark.createDataFrame([(1, "token " + "x!" * 500_000)], "doc_id long, text string")
+    assert [r.candidate for r in S.candidates(long).collect()] == ["x!" * 500_000]

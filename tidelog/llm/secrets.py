@@ -13,10 +13,14 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of 16 characters or more with a digit, or what is quoted after a name that says so.
+#: Names that say a secret follows, with what may stand between: a sign, a quote, a space.
+NAMED = r"(?:passw|pwd|secret|token|bearer|credential|(?:api|private|access)[ _-]?key)[A-Za-z0-9_-]{0,16}[\"']?(?:\s{0,2}[=:]\s{0,2}|\s{1,2})"
+#: What follows such a name, 8 characters or more: to the quote, or unquoted to a space, a quote, a tag or a separator before a further name;
+#: else a run of 16 characters or more that is not a single word in small letters.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
-    r"|(?<=[\"'])(?<=(?i:passw|pwd|secret|token|apikey|api_key)[A-Za-z_]{0,8}\"?\s{0,2}[=:]\s{0,2}[\"'])[^\s\"']{8,}"
+    rf"(?<=[\"'])(?=[^\s\"']{{8}})(?<=(?i:{NAMED})[\"'])[^\s\"']{{8,}}+"
+    rf"|(?<=[\s=:])(?=[^\s\"'=:<>][^\s\"']{{7}})(?<=(?i:{NAMED}))(?:(?![,;&](?:\s|$|[\w.-]{{1,30}}[=:])|</)[^\s\"']){{8,}}+"
+    r"|(?<![A-Za-z0-9+/_.-])(?![A-Za-z][a-z]*(?![A-Za-z0-9+/_.-]))(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 )
 #: Characters before and after a candidate that its neighbouring words are taken from.
 NEAR = 40
@@ -142,7 +146,7 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 1) -> Dat
         noise = " ".join(rnd.choices(words, k=rnd.randrange(5)))
         name = rnd.choice(["token", "secret", "api_key", "password", "auth_token", "AWS_SECRET", "client_secret", "bearer", "private key", "access token", "apikey", "PASSWORD"])
         sign = rnd.choice([" = \"", "=", ": ", " = '", ": \"", ' "', " "])
-        form = rnd.randrange(12)
+        form = rnd.randrange(16)
         if form == 0:
             rows.append((drawn("hex", rnd.choice([32, 40, 64])), f"{noise} {name}{sign}", '" ', 1))
         elif form == 1:
@@ -166,8 +170,19 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 1) -> Dat
             rows.append(("".join(rnd.choices(string.digits, k=rnd.randrange(16, 24))), f"{noise} {rnd.choice(['order ', 'invoice ', 'phone ', ''])}", " ", 0))
         elif form == 10:
             rows.append((rnd.choice(["your_api_key_here_1", "xxxxxxxxxxxxxxxxxxx1", "example-token-123456", "1234567890123456", "abcdefabcdef1234567890", "changeme123456789"]), f"{noise} {name}{sign}", '" ', 0))
-        else:
+        elif form == 11:
             rows.append(("".join(rnd.choices(words, k=4)) + str(rnd.randrange(100)), f"{noise} ", " ", 0))
+        elif form == 12:
+            rows.append(("".join(rnd.choices(string.ascii_letters, k=rnd.randrange(16, 41))), f"{noise} {name}{sign}", rnd.choice(['" ', " ", "\n"]), 1))
+        elif form == 13:
+            w = "".join(rnd.choices(words, k=rnd.randrange(1, 4)))
+            rows.append((w + "." * max(rnd.randrange(2), 8 - len(w)), f"{noise} {name}{sign}", rnd.choice([" ", '" ', "\n"]), 0))
+        elif form == 14:
+            some = rnd.choices(words, k=rnd.randrange(4, 7))
+            rows.append((rnd.choice(["-", "/", "_", "."]).join(some) + rnd.choice(["", "."]), f"{noise} ", " ", 0))
+        else:
+            some = rnd.choices(words, k=rnd.randrange(4, 7))
+            rows.append((rnd.choice([some[0] + "".join(map(str.title, some[1:])), "_".join(some).upper(), "".join(some) + "."]), f"{noise} {rnd.choice(['', 'class ', 'the '])}", " ", 0))
     return spark.createDataFrame(rows, "candidate string, before string, after string, label int")
 
 
