@@ -69,3 +69,29 @@ def test_empty(spark):
     assert P.compared(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = P.compared(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1.0
+
+
+def test_a_clause_that_stands_thousands_of_times(spark):
+    """Likeness against exact counts of clauses: the edited text keeps two thirds of 5,000 equal lines."""
+    rows = [(2, "one equal line\n" * 5_000), (1, "another line altogether\n" * 5_000)]
+    got = {r.doc_id: r for r in P.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = [t for _, t in rows]
+    for i, (k, t) in enumerate(rows):
+        after, third = order[1 - i], len(t) // 3
+        lanes = [whole(x) for x in (t, t[: len(t) - third] + after[:third], after)]
+        assert got[k].near_edited == pytest.approx(likeness(lanes[0], lanes[1])) and got[k].near_edited > 0.5
+        assert got[k].near_next == pytest.approx(likeness(lanes[0], lanes[2]))
+
+
+def whole(text):
+    v = [0] * P.LANES
+    for c in re.split(P.CLAUSE, text):
+        if c:
+            h = hashlib.md5(c.encode()).hexdigest()
+            w = [int(h[8 * i : 8 * i + 8], 16) for i in range(4)]
+            v = [x + (1 if w[k // 32] >> k % 32 & 1 else -1) for k, x in enumerate(v)]
+    return v
+
+
+def likeness(a, b):
+    return max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) + sum(x * x for x in b)))

@@ -6,7 +6,8 @@ adding or subtracting its vector. The vector has two parts:
 
 * exact: the eight 32-bit words of the paragraph's SHA-256, summed modulo 2**32;
 * likeness: for each clause of the paragraph, plus or minus one by each bit of its MD5, summed modulo
-  2**12. The squared distance of two such sums estimates how many clauses two documents do not share.
+  2**32. The squared distance of two such sums estimates how many clauses two documents do not share.
+  A fingerprint shows the lanes modulo 2**12, which is as much a sum; likeness is taken of whole lanes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.runtime import parts
 
 EXACT, LANES = 8, 128
-EXACT_BITS, LANE_BITS = 32, 12
+EXACT_BITS, LANE_BITS, SHOWN_BITS = 32, 32, 12
 #: Where clauses end; a paragraph ends at a line's end.
 CLAUSE = r"[\n.!?;:|]+\s*"
 
@@ -72,9 +73,9 @@ def delete(document: Column, paragraphs: Column) -> Column:
 
 
 def hexed(v: Column) -> Column:
-    """A vector as text: 8 hexadecimal digits for each exact word, 3 for each lane."""
+    """A vector as text: 8 hexadecimal digits for each exact word, the last 3 for each lane."""
     exact = F.transform(F.slice(v, 1, EXACT), lambda x: F.lpad(F.hex(x), 8, "0"))
-    lanes = F.transform(F.slice(v, EXACT + 1, LANES), lambda x: F.lpad(F.hex(x), 3, "0"))
+    lanes = F.transform(_modulo(F.slice(v, EXACT + 1, LANES), SHOWN_BITS), lambda x: F.lpad(F.hex(x), 3, "0"))
     return F.lower(F.array_join(F.concat(exact, lanes), ""))
 
 
@@ -84,7 +85,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def squares(v: Column) -> Column:
         wrapped = F.transform(v, lambda x: (x + half).bitwiseAND((1 << LANE_BITS) - 1) - half)
-        return F.aggregate(wrapped, F.lit(0).cast("long"), lambda s, x: s + x * x)
+        return F.aggregate(wrapped, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
 
     a, b = F.slice(a, EXACT + 1, LANES), F.slice(b, EXACT + 1, LANES)
     both = squares(a) + squares(b)
