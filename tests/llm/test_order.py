@@ -91,3 +91,15 @@ def rows_of(rows):
     from types import SimpleNamespace
 
     return [SimpleNamespace(source=r[3]) for r in rows]
+
+
+def test_mix_of_more_sources_than_blocks(spark):
+    rows = [(i, f"text {i}", "en", s) for i, s in enumerate(["a"] * 60 + ["b"] * 30 + [f"web{k}" for k in range(50)] * 2 + [None] * 10)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixing.mix(df, {"a": 2, "b": 1, "gone": 1}, blocks=40).collect()
+    assert sorted(r.mix_position for r in got) == list(range(len(rows)))
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got) == Counter(rows)
+    line = [r.source for r in sorted(got, key=lambda r: r.mix_position)]
+    assert set(line[:90]) == {"a", "b"} and not {"a", "b"} & set(line[90:])
+    assert all(abs(line[:k].count("a") - k * 2 / 3) <= 5 for k in range(90))
+    assert sorted(r.source for r in mixing.mix(df, {}, blocks=40).collect() if r.source) == sorted(s for *_, s in rows if s)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.runtime import parts
 
-#: Blocks of the whole schedule, which bounds the driver's work: block sizes grow with the input.
+#: Blocks of the whole schedule, which bounds the driver's work: block sizes grow with the input. Sources that
+#: have no weight share blocks if there are more sources than blocks.
 BLOCKS = 20_000
 #: Rows that share a bucket of a source's hash order, on average.
 BUCKET_ROWS = 2_000
@@ -54,33 +55,45 @@ def mix(docs: DataFrame, weights: dict[str, int], blocks: int = BLOCKS) -> DataF
     """docs (all columns) with mix_block, mix_slot, mix_phase and mix_position (from 0, gapless).
 
     weights gives the sources' target weights as whole numbers; a source without one comes
-    last. There may be at most as many sources as blocks. Null is a source of its own, named None. Within a source documents are in order of a hash of
+    last. Null is a source of its own, named None. If there are more sources than blocks, those without a weight are
+    one in the schedule: their documents come last in order of the hash, so each source is spread over
+    the end in proportion. Within a source documents are in order of a hash of
     doc_id and text, so the order depends on nothing else; equal rows are interchangeable. Empty tables are
     allowed. docs needs doc_id, text and source.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("__hash", F.xxhash64("doc_id", "text"))
-    counts = sorted(((r["source"], r["count"]) for r in docs.groupBy("source").count().collect()), key=lambda x: (x[0] is None, x[0]))
-    if len(counts) > blocks:
-        raise ValueError(f"{len(counts)} sources need as many blocks or more, not {blocks}")
+    found = [(r["source"], r["count"]) for r in docs.groupBy("source").count().limit(blocks + 1).collect()]
+    pooled = len(found) > blocks
+    if pooled:
+        named = spark.createDataFrame([(s,) for s, w in weights.items() if int(w) > 0], "__name string").coalesce(1)
+        held = docs.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("__name")), "left_semi").groupBy("source").count()
+        found = [(r["source"], r["count"]) for r in held.collect()]
+    counts = sorted(found, key=lambda x: (x[0] is None, x[0]))
+    targets = [max(0, int(weights.get(s, 0))) for s, _ in counts]
+    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(counts)], "__source int, __name string").coalesce(1)
+    if pooled and (rest := docs.count() - sum(c for _, c in counts)):
+        counts.append((None, rest))
+        targets.append(0)
     n = sum(c for _, c in counts)
     block_rows = max(1, -(-n // blocks))
     sizes = [-(-c // block_rows) for _, c in counts]
-    plan = schedule(sizes, [max(0, int(weights.get(s, 0))) for s, _ in counts])
+    plan = schedule(sizes, targets)
     rows, position = [], 0
     for slot, (i, block, phase) in enumerate(plan):
         rows.append((i, block, slot, phase, position))
         position += min(block_rows, counts[i][1] - block * block_rows)
     slots = spark.createDataFrame(rows, "__source int, __block long, mix_slot long, mix_phase int, __first long").coalesce(1)
-    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(counts)], "__source int, __name string").coalesce(1)
 
     bits = max(1, min(40, (max(n, 1) // BUCKET_ROWS).bit_length()), parts(spark).bit_length())
     bucket = F.shiftrightunsigned("__hash", 64 - bits)
-    docs = docs.withColumn("__bucket", bucket).join(F.broadcast(names), F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
+    docs = docs.withColumn("__bucket", bucket).join(F.broadcast(names), F.col("source").eqNullSafe(F.col("__name")), "left" if pooled else "inner").drop("__name")
+    if pooled:
+        docs = docs.withColumn("__source", F.coalesce("__source", F.lit(len(counts) - 1)))
     held = docs.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = held.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
-    place = F.col("__start") + F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__hash")) - 1
+    place = F.col("__start") + F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__hash", *["source"] * pooled)) - 1
     placed = docs.join(starts.hint("merge"), ["__source", "__bucket"]).withColumn("__place", place)
     placed = placed.withColumn("__block", F.expr(f"__place div {block_rows}"))
     out = placed.join(F.broadcast(slots), ["__source", "__block"]).withColumn("mix_position", F.expr(f"__first + __place % {block_rows}"))
