@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import cut
+from tidelog.llm.runtime import cut, discard
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -27,20 +27,23 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _digest(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        first = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(first, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = cut(large.distinct())
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
-        e = cut(
+        before, e = e, cut(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(small.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct()
         )
+        discard(first, large, low, *([before] if before is not nodes else []))
         was, mark = mark, _digest(e)
         if was == mark:
             break
     roots = nodes.select(F.col("b").alias("node")).union(nodes.select("a")).distinct()
     found = roots.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    return cut(found.select("node", F.coalesce("root", "node").alias("root")))
+    out = cut(found.select("node", F.coalesce("root", "node").alias("root")))
+    discard(nodes, e)
+    return out

@@ -13,9 +13,14 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One of our own is set only where the session has none."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set in the session.
+
+    Where neither is set, a local master gets a temporary folder, and a cluster an error: its machines share none.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -25,14 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a table written to the shared folder, which outlives executors.
 
-    The table is columnar and compressed, unlike a checkpoint of rows. It is deleted when the session's JVM ends.
+    The table is columnar and compressed, unlike a checkpoint of rows. `discard` deletes it, or the end of the session's JVM.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that is deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours; nothing may read it any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written)
 
 
 def batched(df: DataFrame) -> DataFrame:
