@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tidelog.llm import fingerprints as P
 
 
+def clauses(text):
+    """Clauses of each line by itself: the marks end one, and the blanks after marks belong to none."""
+    return [c for line in text.split("\n") for c in re.split(r"[.!?;:|]+\s*", line)]
+
+
 def brute(text):
     v = [0] * (P.EXACT + P.LANES)
     for p in re.split(r"\n+", text):
@@ -15,7 +20,7 @@ def brute(text):
             h = hashlib.sha256(p.encode()).hexdigest()
             for i in range(8):
                 v[i] = (v[i] + int(h[8 * i : 8 * i + 8], 16)) % 2**32
-    for c in re.split(P.CLAUSE, text):
+    for c in clauses(text):
         if c:
             h = hashlib.md5(c.encode()).hexdigest()
             w = [int(h[8 * i : 8 * i + 8], 16) for i in range(4)]
@@ -65,6 +70,23 @@ def test_sums(spark):
     assert r["sum"] == r["z"] and r["less"] == r["x"] and r["x"] != r["z"]
 
 
+def test_order_of_paragraphs_and_insertion(spark):
+    """Blanks at a paragraph's start or a paragraph of blanks belong to it alone, whatever stands before."""
+    parts = ["  alpha beta", "gamma delta.", "   ", "\tone; two ", "gamma delta."]
+    rnd = random.Random(3)
+    orders = [rnd.sample(parts, len(parts)) for _ in range(12)]
+    df = spark.createDataFrame([("\n".join(o), o) for o in orders], "whole string, parts array<string>")
+    total = F.lit(None)
+    for i in range(len(parts)):
+        one = P.vector(F.get("parts", F.lit(i)))
+        total = one if i == 0 else P.insert(total, one)
+    got = df.select(P.vector(F.col("whole")).alias("whole"), total.alias("total"), P.delete(P.vector(F.col("whole")), P.vector(F.get("parts", F.lit(0)))).alias("less"), P.vector(F.array_join(F.slice("parts", 2, 9), "\n")).alias("rest")).collect()
+    assert len({tuple(r["whole"]) for r in got}) == 1
+    assert all(r["whole"] == r["total"] and r["less"] == r["rest"] for r in got)
+    one, none = spark.createDataFrame([("x\n" * 4096,), ("",)], "t string").select(P.vector(F.col("t")).alias("v")).collect()
+    assert one["v"] != none["v"]
+
+
 def test_empty(spark):
     assert P.compared(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = P.compared(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
@@ -85,7 +107,7 @@ def test_a_clause_that_stands_thousands_of_times(spark):
 
 def whole(text):
     v = [0] * P.LANES
-    for c in re.split(P.CLAUSE, text):
+    for c in clauses(text):
         if c:
             h = hashlib.md5(c.encode()).hexdigest()
             w = [int(h[8 * i : 8 * i + 8], 16) for i in range(4)]

@@ -19,8 +19,8 @@ from tidelog.llm.runtime import parts
 
 EXACT, LANES = 8, 128
 EXACT_BITS, LANE_BITS, SHOWN_BITS = 32, 32, 12
-#: Where clauses end; a paragraph ends at a line's end.
-CLAUSE = r"[\n.!?;:|]+\s*"
+#: Where a paragraph ends, and where a clause ends in a paragraph.
+PARAGRAPH, CLAUSE = r"\n+", r"[.!?;:|]+\s*"
 
 
 def _word(hexes: Column, at: Column) -> Column:
@@ -28,20 +28,21 @@ def _word(hexes: Column, at: Column) -> Column:
 
 
 def vector(text: Column) -> Column:
-    """array<bigint> of EXACT + LANES numbers; of the empty text: zeros."""
-    text = F.coalesce(text, F.lit(""))
+    """array<bigint> of EXACT + LANES numbers; of the empty text: zeros.
 
-    def some(pattern: str) -> Column:
-        return F.filter(F.split(text, pattern), lambda p: p != "")
+    Clauses are cut within a paragraph, so a paragraph's numbers do not depend on its neighbours.
+    """
+    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
+    parts = F.filter(F.flatten(F.transform(paragraphs, lambda p: F.split(p, CLAUSE))), lambda c: c != "")
 
     def zeros(n: int) -> Column:
         return F.array_repeat(F.lit(0).cast("long"), n)
 
-    words = F.transform(some(r"\n+"), lambda p: F.sha2(p, 256))
+    words = F.transform(paragraphs, lambda p: F.sha2(p, 256))
     numbers = F.array(*[F.lit(i) for i in range(EXACT)])
     exact = F.aggregate(words, zeros(EXACT), lambda acc, h: F.zip_with(acc, numbers, lambda a, i: a + _word(h, i)))
     quarters = F.array(*[F.lit(i) for i in range(4)])
-    clauses = F.transform(F.transform(some(CLAUSE), F.md5), lambda h: F.transform(quarters, lambda i: _word(h, i)))
+    clauses = F.transform(F.transform(parts, F.md5), lambda h: F.transform(quarters, lambda i: _word(h, i)))
     bits = F.array(*[F.lit(i) for i in range(LANES)])
     lanes = F.aggregate(
         clauses,
