@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import hilbert, mixing
 
@@ -47,10 +48,33 @@ def test_shard_files(spark, tmp_path):
     rows = corpus(60)
     hilbert.write_shards(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out"))
+    nulls = [(None, None, None, None)] * 7
+    hilbert.write_shards(spark.createDataFrame(nulls, SCHEMA), str(tmp_path / "nulls"), 5)
+    assert spark.read.parquet(str(tmp_path / "nulls")).count() == 7
     assert Counter(tuple(r) for r in back.select("doc_id", "text", "lang", "source").collect()) == Counter(rows)
     assert hilbert.shard(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_frequent_categories_do_not_collide(spark):
+    """Readers that filter on a language or a source open few shards: each of 20 sources and 4 languages has a step of its own."""
+    rnd = random.Random(5)
+    rows = [(i, "x" * int(2 ** rnd.uniform(3, 13)), rnd.choice(["en", "de", "fr", "es"]), f"src{min(19, int(rnd.expovariate(0.2)))}") for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = hilbert.shard(df, keep=("lang", "source")).cache()
+    read = {r.value: r.shards for r in hilbert.shards_read(got, "lang").collect()}
+    assert sum(read.values()) / len(read) <= 12  # of 24
+    many = hilbert.shards_read(got, "source").collect()
+    assert sum(r.shards for r in many) / len(many) <= 12
+    assert sum(r.rows for r in many) == 4000
+
+
+def test_many_sources_share_the_steps_left(spark):
+    rows = [(i, "t", "en", f"host{i}") for i in range(100)] + [(i, "t", "en", "big") for i in range(100, 150)]
+    got = hilbert.shard(spark.createDataFrame(rows, SCHEMA).repartition(3), keep=("source", "slot", "size")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(150))
+    assert len({r.curve for r in got if r.source == "big"}) == 1
+
+
 def test_schedule_stays_within_a_block():
     rnd = random.Random(1)
     for _ in range(60):
@@ -74,8 +98,10 @@ def test_schedule_stays_within_a_block():
 
 def test_mix(spark):
     rows = corpus(400)
-    df = spark.createDataFrame([(*r, 7) for r in rows], SCHEMA + ", mix_slot int").drop("mix_slot").repartition(3)
-    got = mixing.mix(df, {"a": 1, "b": 1, "c": 2}, blocks=100).collect()
+    df = spark.createDataFrame([(*r, 7) for r in rows], SCHEMA + ", mix_slot int").withColumns({"number": F.lit("x"), "hash": F.lit("y"), "__hash": F.lit(1), "first": F.lit(2)}).repartition(3)
+    mixed = mixing.mix(df, {"a": 0.5, "b": 0.5, "c": 1}, blocks=100)
+    assert mixed.columns == [*"doc_id text lang source number hash __hash first".split(), *mixing.MIXED]
+    got = mixed.collect()
     assert sorted(r.mix_position for r in got) == list(range(len(rows)))
     assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got) == Counter(rows)
     sizes = Counter(r.source for r in rows_of(rows))
@@ -87,6 +113,16 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), {"a": 1}).collect() == []
 
 
+def test_ties_and_weights(spark):
+    """Equal rows share a hash and take different places; weights keep their ratio as whole numbers."""
+    rows = [(1, "same", "en", "a")] * 50 + [(2, "other", "en", "b")] * 50
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), {"a": 0.75, "b": 0.25}, blocks=100).collect()
+    assert sorted(r.mix_position for r in got) == list(range(100))
+    line = [r.source for r in sorted(got, key=lambda r: r.mix_position)]
+    assert all(abs(line[:k].count("a") - 0.75 * k) < 1 for k in range(60))
+    assert mixing.whole_weights({"a": 0.5, "b": 1 / 3, "c": 0, "d": -1}) == {"a": 3, "b": 2, "c": 0, "d": 0} and mixing.whole_weights({}) == {}
+
+
 def rows_of(rows):
     from types import SimpleNamespace
 

@@ -1,8 +1,8 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Language, source and length are quantised to 2**BITS steps each; rows are sorted by the index
-of their cell on the curve, so neighbours in a shard are alike in all three, and the sorted
-sequence is cut into runs. A reader that filters on any dimension then skips most files.
+Language, source and length are quantised to 2**BITS steps each (the most frequent languages and sources get steps
+of their own); rows are sorted by the index of their cell on the curve, so neighbours in a shard are alike in all three, and the
+sorted sequence is cut into runs. A reader that filters on any dimension then skips most files.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.runtime import numbered
 
-SHARDS, BITS, DIMENSIONS = 24, 4, 3
+SHARDS, BITS, DIMENSIONS = 24, 5, 3
+#: Values of a category with a step of their own; the steps beyond are shared by the rest.
+OWN_STEPS = 24
+SHARDED = ("doc_id", "size", "text_crc32", "curve", "shard", "slot")
 
 
 def curve(bits: int = BITS, dimensions: int = DIMENSIONS) -> list[int]:
@@ -45,34 +48,71 @@ def curve(bits: int = BITS, dimensions: int = DIMENSIONS) -> list[int]:
     return out
 
 
-def curve_index(lang: Column, source: Column, size: Column) -> Column:
-    """Categories go to a step by their CRC, sizes by their power of two from 8 bytes up; null is step 0."""
+def frequency_steps(docs: DataFrame, column: str) -> list:
+    """The most frequent values of a column, which get a step of their own, most frequent first (ties: in order)."""
+    counts = docs.where(F.col(column).isNotNull()).groupBy(column).count()
+    return [r[column] for r in counts.orderBy(F.desc("count"), column).limit(OWN_STEPS).collect()]
+
+
+def category_step(value: Column, own: list) -> Column:
+    """Step 0 for null; the values in `own` are spread evenly over the steps, all others share the steps between, by their CRC.
+
+    Spread values use the curve's coarse levels as well, which tell apart what lands in different shards.
+    """
     steps = 1 << BITS
-    category = [F.coalesce(F.pmod(F.crc32(c), F.lit(steps)), F.lit(0)) for c in (lang, source)]
-    length = F.least(F.greatest(F.floor(F.log2(size)) - 3, F.lit(0)), F.lit(steps - 1))
-    cell = (category[0] * steps + category[1]) * steps + length
-    return F.element_at(F.array(*map(F.lit, curve())), (cell + 1).cast("int"))
+    at = [1 + i * (steps - 1) // len(own) for i in range(len(own))]
+    left = sorted(set(range(1, steps)) - set(at))
+    other = F.element_at(F.array(*map(F.lit, left)), (F.pmod(F.crc32(value.cast("string")), F.lit(len(left))) + 1).cast("int"))
+    if not own:
+        return F.when(value.isNull(), 0).otherwise(other)
+    table = F.create_map(*[x for v, i in zip(own, at, strict=True) for x in (F.lit(v), F.lit(i))])
+    return F.when(value.isNull(), 0).otherwise(F.coalesce(F.element_at(table, value), other))
+
+
+def size_step(size: Column) -> Column:
+    """Two steps for each power of two from 8 bytes up."""
+    return F.least(F.greatest(F.floor(F.log2(size) * 2) - 6, F.lit(0)), F.lit((1 << BITS) - 1)).cast("int")
+
 
+def share_step(number: Column, total: int) -> Column:
+    """A step for each equal run of a number from 0 below total."""
+    return F.expr("0") if total < 1 else F.floor(number * (1 << BITS) / total).cast("int")
 
-def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def curve_index(*steps: Column) -> Column:
+    """Index on the curve of the cell at these steps."""
+    cell = steps[0]
+    for x in steps[1:]:
+        cell = cell * (1 << BITS) + x
+    table = F.split(F.lit(",".join(map(str, curve(BITS, len(steps))))), ",").cast("array<int>")  # folded once
+    return F.element_at(table, (cell + 1).cast("int"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, curve, shard, slot.
 
-    size is the text's UTF-8 bytes (null: none) plus 8. Rows are ordered by curve index, CRC,
-    doc_id and text length; shards are runs of that order with row counts at most one apart, slot counts
+    size is the text's UTF-8 bytes (null: none) plus 8. The curve runs over steps of language, source and size; with
+    `position`, a column of numbers from 0 to the count of rows, over its runs in place of the sources. Rows are ordered by curve index, CRC,
+    doc_id and size; shards are runs of that order with row counts at most one apart, slot counts
     from 0 in each. Null dimensions are step 0; equal rows get neighbouring slots. With fewer rows than shards
-    some shards stay empty. keep names further columns of docs to return.
+    some shards stay empty. keep names further columns of docs to return, under their names unless the result has such a column.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*dict.fromkeys(["doc_id", *keep, "lang", "source"]), (F.octet_length(text) + 8).cast("long").alias("__size"), F.crc32(text).alias("__crc"))
-    rows = rows.withColumn("__curve", curve_index(F.col("lang"), F.col("source"), F.col("__size")))
-    rows = rows.drop(*[c for c in ("lang", "source") if c not in keep])
+    kept = {c: f"__keep{i}" for i, c in enumerate(keep) if c not in (*SHARDED, *([position] if position else []))}
+    third = F.col(position).alias("__third") if position else F.col("source").alias("__third")
+    rows = docs.select("doc_id", *[F.col(c).alias(k) for c, k in kept.items()], F.col("lang").alias("__lang"), third, (F.octet_length(text) + 8).cast("long").alias("__size"), F.crc32(text).alias("__crc"))
+    own = frequency_steps(docs, "lang")
+    along = share_step(F.col("__third"), docs.count()) if position else category_step(F.col("__third"), frequency_steps(docs, "source"))
+    rows = rows.withColumn("__curve", curve_index(category_step(F.col("__lang"), own), along, size_step(F.col("__size"))))
+    rows = rows.drop("__lang", *([] if position else ["__third"]))
     rows = numbered(rows, F.col("__curve"), F.col("__crc"), F.col("doc_id"), F.col("__size"), name="__rank")
     n = rows.count()
-    numbered_rows = rows.withColumn("__shard", F.expr(f"__rank * {shards} div {max(n, 1)}"))
+    rows = rows.withColumn("__shard", F.expr(f"__rank * {shards} div {max(n, 1)}"))
     first = F.expr(f"(__shard * {n} + {shards - 1}) div {shards}")
-    return numbered_rows.select(
+    return rows.select(
         "doc_id",
-        *[c for c in keep if c not in ("doc_id", "size", "text_crc32", "curve", "shard", "slot")],
+        *[F.col(k).alias(c) for c, k in kept.items()],
+        *([F.col("__third").alias(position)] if position else []),
         F.col("__size").alias("size"),
         F.col("__crc").alias("text_crc32"),
         F.col("__curve").alias("curve"),
@@ -82,7 +122,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """docs as Parquet under path, a folder for each shard, rows in order of their slot."""
-    every = shard(docs, shards, keep=tuple(docs.columns))
-    own = [c for c in docs.columns if c not in ("shard", "slot")]
-    every.select(*own, "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """docs as Parquet under path, a folder for each shard, rows in order of their slot.
+
+    Columns of docs keep their names, but size, text_crc32, curve, shard and slot are those of the shards. Null keys, texts and
+    dimensions are rows as all others; an empty table writes no folder.
+    """
+    own = [c for c in docs.columns if c not in SHARDED]
+    every = shard(docs, shards, keep=tuple(own))
+    every.select("doc_id", *own, "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def shards_read(sharded: DataFrame, dimension: str) -> DataFrame:
+    """For each value of a kept dimension, how many shards a reader must open that filters on it: value, shards, rows."""
+    return sharded.groupBy(F.col(dimension).alias("value")).agg(F.count_distinct("shard").alias("shards"), F.count("*").alias("rows"))
