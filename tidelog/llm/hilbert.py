@@ -88,24 +88,25 @@ def curve_index(*steps: Column) -> Column:
     return F.element_at(table, (cell + 1).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), position: str | None = None, size: Column | None = None, crc: Column | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, curve, shard, slot.
 
     size is the text's UTF-8 bytes (null: none) plus 8. The curve runs over steps of language, source and size; with
-    `position`, a column of numbers from 0 to the count of rows, over its runs in place of the sources. Rows are ordered by curve index, CRC,
-    doc_id and size; shards are runs of that order with row counts at most one apart, slot counts
+    `position`, a column of numbers from 0 to the count of rows, over its runs in place of the sources. size and crc give the text's bytes
+    and CRC where docs has no text. Rows are ordered by curve index, CRC (position, if given), doc_id and size; shards are runs of that order with row counts at most one apart, slot counts
     from 0 in each. Null dimensions are step 0; equal rows get neighbouring slots. With fewer rows than shards
     some shards stay empty. keep names further columns of docs to return, under their names unless the result has such a column.
     """
-    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length("text") if size is None else size
+    crc = F.crc32(F.coalesce("text", F.lit(""))) if crc is None else crc
     kept = {c: f"__keep{i}" for i, c in enumerate(keep) if c not in (*SHARDED, *([position] if position else []))}
     third = F.col(position).alias("__third") if position else F.col("source").alias("__third")
-    rows = docs.select("doc_id", *[F.col(c).alias(k) for c, k in kept.items()], F.col("lang").alias("__lang"), third, (F.octet_length(text) + 8).cast("long").alias("__size"), F.crc32(text).alias("__crc"))
+    rows = docs.select("doc_id", *[F.col(c).alias(k) for c, k in kept.items()], F.col("lang").alias("__lang"), third, (F.coalesce(size, F.lit(0)) + 8).cast("long").alias("__size"), crc.alias("__crc"))
     own = frequency_steps(docs, "lang")
     along = share_step(F.col("__third"), docs.count()) if position else category_step(F.col("__third"), frequency_steps(docs, "source"))
     rows = rows.withColumn("__curve", curve_index(category_step(F.col("__lang"), own), along, size_step(F.col("__size"))))
     rows = rows.drop("__lang", *([] if position else ["__third"]))
-    rows = numbered(rows, F.col("__curve"), F.col("__crc"), F.col("doc_id"), F.col("__size"), name="__rank")
+    rows = numbered(rows, F.col("__curve"), F.col("__third" if position else "__crc"), F.col("doc_id"), F.col("__size"), name="__rank")
     n = rows.count()
     rows = rows.withColumn("__shard", F.expr(f"__rank * {shards} div {max(n, 1)}"))
     first = F.expr(f"(__shard * {n} + {shards - 1}) div {shards}")
