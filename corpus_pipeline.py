@@ -6,14 +6,12 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, hilbert, jaccard, langid, mixing
 from tidelog.llm.queries import TARGET_WEIGHTS, language_model
-from tidelog.llm.runtime import shared_dir
+from tidelog.llm.runtime import delete, new_folder, numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,15 +41,28 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the rows in the order of the mixture: the files in order are the training sequence."""
+    """All documents, the rows in the order of the mixture: the rows of the files in order are the training sequence."""
     rows = mixing.mix(docs.select(*COLUMNS), TARGET_WEIGHTS)
     return rows.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS)
 
 
+def sequence(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) with mix_position: each row's place from 0 in the order that the stage before wrote.
+
+    The order is that of the files' names and of the rows in them, whatever way a reader splits the files.
+    """
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "lang", F.octet_length("text").alias("bytes"), crc.alias("crc"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return numbered(rows, F.col("file"), F.col("row"), name="mix_position").drop("file", "row")
+
+
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot."""
-    rows = hilbert.shard(docs)
-    return rows.select("doc_id", "size", "text_crc32", "shard", "slot")
+    """Each document's shard and slot, and its place in the mixture (mix_position).
+
+    Shards follow the mixture: its runs are a dimension of the curve beside language and size, so a shard holds runs of the training sequence
+    and a reader of one part of it skips the other files.
+    """
+    return hilbert.shard(sequence(docs), position="mix_position", size=F.col("bytes"), crc=F.col("crc")).select("doc_id", "size", "text_crc32", "shard", "slot", "mix_position")
 
 
 STAGES = [
@@ -64,14 +75,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. Between stages tables are written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of sf_dir. Between stages tables are written to the shared folder.
+
+    A stage's table is deleted once the next one's is written, the last one when the session's JVM ends.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            folder = new_folder(spark)
+            docs.write.parquet(folder)
+            if last:
+                delete(spark, last)
+            docs, last = spark.read.parquet(folder), folder
     return docs
 
 
