@@ -105,6 +105,19 @@ walk AS (SELECT rep AS node, rep AS reached FROM rep UNION SELECT walk.node, lin
 root AS (SELECT node, min(reached) AS root FROM walk GROUP BY node)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root.root, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sig USING (doc_id) LEFT JOIN rep USING (sig) LEFT JOIN root ON root.node = rep.rep""",
+    "op8_repeated_windows": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, b[i:i + 199] AS g FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS (SELECT w.r, w.i FROM w JOIN again USING (g)),
+gaps AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+runs AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM gaps),
+span AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY r, k),
+piece AS (SELECT r, k, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 1) AS was FROM span),
+kept AS (SELECT piece.r, sum(z - a) AS gone, count(*) AS spans, string_agg(lower(hex(b[was:a - 1])), '' ORDER BY k) || lower(hex(any_value(b)[max(z):])) AS h FROM piece JOIN t ON t.r = piece.r GROUP BY piece.r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.r = t.r""",
     "op9_decontamination": r"""
 WITH t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 w AS (SELECT k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
