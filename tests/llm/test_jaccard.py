@@ -1,9 +1,12 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from tidelog.llm.jaccard import near_duplicates
+from tidelog.llm import kernels as K
+from tidelog.llm.jaccard import PIVOTS, _Group, join_counts, near_duplicates
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -100,3 +103,56 @@ def test_groups_beyond_one_task(spark, group_bytes):
         rows.append((200 + i, " ".join(v)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(df, group_bytes=group_bytes).collect())) == brute(rows)
+
+
+def sets_of(rnd, m):
+    """Edits of a few sets, some behind boilerplate that all share."""
+    universe = rnd.choice([30, 100, 1000])
+    base = [rnd.sample(range(universe), rnd.randrange(4, min(universe, 30))) for _ in range(rnd.randrange(1, 4))]
+    boiler = list(range(10**6, 10**6 + rnd.choice([0, 10, 40])))
+    sets = []
+    for _ in range(m):
+        one = set(rnd.choice(sets).tolist() if sets and rnd.random() < 0.5 else rnd.choice(base) + boiler)
+        for _ in range(rnd.randrange(4)):
+            if one and rnd.random() < 0.5:
+                one.discard(rnd.choice(sorted(one)))
+            one.add(rnd.randrange(universe))
+        sets.append(np.array(sorted(one), np.uint64))
+    return sets
+
+
+def test_regions_equal_all_pairs():
+    rnd = random.Random(4)
+    total = Counter()
+    for _ in range(150):
+        sets = sets_of(rnd, rnd.randrange(2, 60))
+        size = np.array([len(x) + rnd.choice([0, 0, 0, 1, 2]) for x in sets])
+        group = _Group(size, sets)
+        label = group.join()
+        total.update(group.counts)
+        a, b = [], []
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                if 4 * both >= 3 * (size[i] + size[j] - both):
+                    a.append(i)
+                    b.append(j)
+        expected = K.components(len(sets), np.array(a, int), np.array(b, int))
+        assert len({*zip(label.tolist(), expected.tolist(), strict=True)}) == len(set(label.tolist())) == len(set(expected.tolist()))
+    assert total["pivots"] > total["regions"] > 100 and total["copies"] > 0
+
+
+@pytest.mark.parametrize("m", [500, 2000])
+def test_boilerplate_costs_no_pairs(m):
+    """Pages that share four fifths and do not link: no pair of them is looked at."""
+    sets = [np.concatenate([np.arange(320), np.arange(10**6 + 80 * i, 10**6 + 80 * i + 80)]).astype(np.uint64) for i in range(m)]
+    group = _Group(np.full(m, 400), sets)
+    assert len(np.unique(group.join())) == m
+    assert group.counts["compared"] == 0 and group.counts["pivots"] <= 2 * PIVOTS
+
+
+def test_counts_of_a_table(spark):
+    rows = corpus(1)
+    found = join_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert found and all(r.pivots >= 1 and r.sets >= 2 for r in found)
+    assert sum(r.regions for r in found) > 0

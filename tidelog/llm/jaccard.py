@@ -8,9 +8,10 @@ only sets within a triangle-inequality window of a region's border need a second
   window that keeps a join exact is its rarest few (overlap >= 3/4 n leaves n/4 others).
   A shingle that no other set holds makes an empty region, and a set of which fewer than 3/4 are
   shared can link to nothing; both leave here, before any pair is looked at.
-* Sets that such regions connect form groups. A group is joined around pivots chosen from its
-  sets: each set goes to its nearest pivot and to each other that is at most 2 * 1/4 farther,
-  and the regions are joined in the same way until they are small.
+* Sets that such regions connect form neighbourhoods. Each is joined around pivots chosen far apart from its
+  sets: each set goes to its nearest pivot and to each other that is at most 2 * 1/4 farther. A region is then
+  translated by its core, the shingles that most of its sets hold: what is left of each set says which sets link for being near
+  the core, and which parts of the region can still hold links. These are joined in the same way, down to nothing.
 * Only components are asked for, so sets that are already connected are not compared again,
   and equal sets are one set from the start: copies cost their own row and no pairs.
 """
@@ -31,9 +32,8 @@ from tidelog.llm.runtime import batched, cut, parts
 WORDS = 5
 #: Link when NUM * union <= DEN * intersection.
 NUM, DEN = 3, 4
-#: Groups up to so many sets are compared set by set.
-LEAF = 48
-PIVOTS = 12
+#: Pivots of a region.
+PIVOTS = 8
 #: Bytes of shingles that one task joins at most; a larger group is parted over tasks first.
 GROUP_BYTES = 48 << 20
 #: Bytes of pivots that are broadcast together.
@@ -159,7 +159,11 @@ def _near(table: pa.Table) -> pa.Table:
 
 
 class _Group:
-    """Sets in one flat array, joined exactly."""
+    """Sets of a neighbourhood in one flat array, joined exactly around pivots.
+
+    Two sets link when 7 * |A ^ B| <= |A| + |B|. The symmetric difference is a metric that a translation keeps: with D = A ^ core,
+    |A ^ B| is |D(A) ^ D(B)|, and what all sets of a region share is gone from the D.
+    """
 
     def __init__(self, size: np.ndarray, sets: list[np.ndarray]):
         self.size = size.astype(np.int64)
@@ -168,70 +172,157 @@ class _Group:
         self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
         self.label = np.arange(len(sets))
         self.mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+        self.counts = {"pivots": 0, "regions": 0, "copies": 0, "compared": 0}
+
+    def tokens(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the members, and each token's index in members."""
+        n = self.bounds[members + 1] - self.bounds[members]
+        ends = np.cumsum(n)
+        at = np.repeat(self.bounds[members] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], np.repeat(np.arange(len(members)), n)
 
     def alike(self, one: int, rest: np.ndarray) -> np.ndarray:
         """Size of the intersection of one set with each of the rest."""
         own = self.flat[self.bounds[one] : self.bounds[one + 1]]
         self.mark[own] = True
-        a, b = self.bounds[rest], self.bounds[rest + 1]
-        n = b - a
-        ends = np.cumsum(n)
-        at = np.repeat(a - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        hits = np.concatenate([[0], np.cumsum(self.mark[self.flat[at]])])
+        token, owner = self.tokens(rest)
+        both = np.bincount(owner[self.mark[token]], minlength=len(rest))
         self.mark[own] = False
-        return hits[ends] - hits[ends - n]
+        return both
 
     def unite(self, one: int, many: np.ndarray) -> None:
         old = np.unique(self.label[np.append(many, one)])
         if len(old) > 1:
             self.label[np.isin(self.label, old)] = old[0]
 
+    def one_label(self, members: np.ndarray) -> bool:
+        return bool((self.label[members] == self.label[members[0]]).all()) if len(members) else True
+
     def linked(self, one: int, rest: np.ndarray, both: np.ndarray) -> np.ndarray:
         return DEN * both >= NUM * (self.size[one] + self.size[rest] - both)
 
-    def leaf(self, members: np.ndarray) -> None:
-        for i, one in enumerate(members):
-            rest = members[i + 1 :]
-            rest = rest[self.label[rest] != self.label[one]]
+    def voronoi(self, members: np.ndarray) -> list[np.ndarray]:
+        """Regions of pivots far from each other; the pivots' own links are found here, so the regions hold the other sets.
+
+        A set goes to its nearest pivot and to each pivot that is at most 2 * 1/4 farther: of two sets that link, each is in the other's region.
+        """
+        near, far, pivots, one = np.full(len(members), np.inf), [], [], members[0]
+        while len(pivots) < PIVOTS:
+            both = self.alike(one, members)
+            far.append(1 - both / (self.size[one] + self.size[members] - both))
+            self.unite(one, members[self.linked(one, members, both)])
+            pivots.append(one)
+            near = np.minimum(near, far[-1])
+            near[members == one] = -1
+            if near.max() < 0 or self.one_label(members):
+                break
+            one = members[near.argmax()]
+        self.counts["pivots"] += len(pivots)
+        rest = ~np.isin(members, pivots)
+        members, far = members[rest], np.stack(far)[:, rest]
+        if len(members) < 2 or self.one_label(members):
+            return []
+        limit, home = far.min(0) + 2 * (1 - NUM / DEN) + 1e-9, far.argmin(0)
+        regions = [members[far[j] <= limit] for j in np.unique(home)]
+        if 2 * max(map(len, regions)) > len(members) or sum(map(len, regions)) > 2 * len(members):
+            regions = [members]  # nearly as far from each pivot: one region, whose pivot is its core
+        self.counts["regions"] += len(regions)
+        self.counts["copies"] += sum(map(len, regions))
+        return [r for r in regions if len(r) > 1]
+
+    def translated(self, members: np.ndarray) -> list[np.ndarray]:
+        """The parts of a region in which links can still be, after a translation by its core (the tokens of most sets).
+
+        With f(A) = 7 |D(A)| - |A|, sets with f(A) + f(B) <= 0 link, since both are so near the core; all such pairs hang together
+        over the set of least f. Any other link needs (f(A) + f(B)) / 14 common tokens of the D, so a rare one among the first of both.
+        """
+        token, owner = self.tokens(members)
+        core = np.flatnonzero(np.bincount(token, minlength=len(self.mark)) * 2 > len(members))
+        place = np.full(len(self.mark), -1)
+        place[core] = np.arange(len(core))
+        inside = place[token] >= 0
+        held = np.zeros((len(members), len(core)), bool)
+        held[owner[inside], place[token[inside]]] = True
+        lacks, lacking = np.nonzero(~held)
+        apart = self.size[members] + len(core) - 2 * held.sum(1)
+        f = 7 * apart - self.size[members]
+        least = f.argmin()
+        self.unite(members[least], members[f <= -f[least]])
+        token, owner = np.concatenate([token[~inside], core[lacking]]), np.concatenate([owner[~inside], lacks])
+        often = np.bincount(token, minlength=len(self.mark))[token]
+        token, owner, often = token[often > 1], owner[often > 1], often[often > 1]
+        shared = np.bincount(owner, minlength=len(members))
+        first = apart - np.maximum(1, -(-(f + f[least]) // 14)) + 1 - (apart - shared)  # tokens that no other set has come first
+        order = np.lexsort((token, often, owner))
+        token, owner = token[order], owner[order]
+        rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+        token, owner = token[rank < first[owner]], owner[rank < first[owner]]
+        order = np.lexsort((self.size[members[owner]], token))
+        token, owner = token[order], owner[order]
+        n = self.size[members[owner]]
+        same = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
+        part = K.components(len(members), owner[:-1][same], owner[1:][same])
+        order = np.argsort(part, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(p) > 1]
+        out = []
+        for p in parts:
+            if 5 * len(p) <= 4 * len(members):
+                out.append(members[p])
+            elif not self.one_label(members[p]):
+                own = np.isin(owner, p)
+                self.compared(members, token[own], owner[own], p[np.argsort(f[p], kind="stable")])
+        return out
+
+    def compared(self, members: np.ndarray, token: np.ndarray, owner: np.ndarray, order: np.ndarray) -> None:
+        """Sets that share one of their first tokens and are not connected yet, compared one by one."""
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
+        run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(token))))
+        of = np.argsort(owner, kind="stable")
+        starts = np.searchsorted(owner[of], np.arange(len(members) + 1))
+        ends, place = np.append(begins, len(token)), np.empty(len(members), np.int64)
+        place[order] = np.arange(len(order))
+        for i in order:
+            runs = run[of[starts[i] : starts[i + 1]]]
+            near = np.unique(np.concatenate([owner[ends[r] : ends[r + 1]] for r in runs])) if len(runs) else runs
+            near = near[(place[near] < place[i]) & (self.label[members[near]] != self.label[members[i]])]
+            one, rest = members[i], members[near]
             low, high = np.minimum(self.size[rest], self.size[one]), np.maximum(self.size[rest], self.size[one])
             rest = rest[DEN * low >= NUM * high]
             if len(rest):
+                self.counts["compared"] += len(rest)
                 self.unite(one, rest[self.linked(one, rest, self.alike(one, rest))])
 
     def join(self) -> np.ndarray:
         todo = [np.arange(len(self.size))]
         while todo:
             members = todo.pop()
-            if (self.label[members] == self.label[members[0]]).all():
-                continue
-            if len(members) <= LEAF:
-                self.leaf(members)
-                continue
-            pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
-            far = np.empty((len(members), PIVOTS))
-            for j, one in enumerate(pivots):
-                both = self.alike(one, members)
-                far[:, j] = 1 - both / (self.size[one] + self.size[members] - both)
-                self.unite(one, members[self.linked(one, members, both)])
-            home = far.argmin(1)
-            limit = far.min(1) + 2 * (1 - NUM / DEN) + 1e-9
-            regions = [members[far[:, j] <= limit] for j in range(PIVOTS) if (home == j).any()]
-            if max(map(len, regions)) > 0.9 * len(members) or sum(map(len, regions)) > 3 * len(members):
-                self.leaf(members)  # the pivots do not part these sets
-            else:
-                todo += regions
+            if not self.one_label(members):
+                for region in self.voronoi(members):
+                    if not self.one_label(region):
+                        todo += self.translated(region)
         return self.label
 
 
-def _joined(table: pa.Table) -> pa.Table:
-    """(node, root) of one group of sets."""
+def _group_of(table: pa.Table) -> tuple[np.ndarray, _Group]:
     node = table.column("node").to_numpy()
     order = np.argsort(node)
     blobs = table.column("blob")
     sets = [np.frombuffer(blobs[int(i)].as_buffer(), K.U) & LOW48 for i in order]
-    label = _Group(table.column("n").to_numpy()[order], sets).join()
-    node = node[order]
-    return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(node[label], pa.int64())})
+    return node[order], _Group(table.column("n").to_numpy()[order], sets)
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """(node, root) of one group of sets."""
+    node, group = _group_of(table)
+    return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(node[group.join()], pa.int64())})
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """How one group of sets was joined: sets, components, and what _Group counts."""
+    node, group = _group_of(table)
+    label = group.join()
+    found = {"sets": len(node), "components": len(np.unique(label)), **group.counts}
+    return pa.table({k: pa.array([v], pa.int64()) for k, v in found.items()})
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +367,7 @@ def _parted(rows: DataFrame) -> DataFrame:
         one = {}
         for g, sets in table.items():
             joined = _Group(np.array([n for _, n, _ in sets]), [x for _, _, x in sets])
-            joined.leaf(np.arange(len(sets)))
+            joined.join()
             one[g] = ([x[0] for x in sets], [x[1] for x in sets], [np.sort(x[2]) for x in sets], joined.label)
         shared = share(one)
 
@@ -305,6 +396,66 @@ def _parted(rows: DataFrame) -> DataFrame:
     return cut(out)
 
 
+def _by_core(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (g, node, n, blob) that are too large for one task, translated by their cores as _Group.translated does.
+
+    Returns the links (a, b) of the sets that are so near a core that they link for it, and the rows in new groups:
+    the parts in which links can still be. Rows without such a part are left out.
+    """
+    regions = parts(rows.sparkSession)
+
+    def count(batches):
+        for b in batches:
+            g = b.column(0).to_numpy()
+            token = np.concatenate([np.frombuffer(x.as_buffer(), K.U) for x in b.column(1)]) if len(g) else np.zeros(0, K.U)
+            owner = np.repeat(g, [len(x.as_buffer()) // 8 for x in b.column(1)])
+            order = np.lexsort((token, owner))
+            token, owner = token[order], owner[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]))
+            yield pa.record_batch({"g": pa.array(owner[first]), "token": pa.array(token[first].view(np.int64)), "held": pa.array(np.diff(np.append(first, len(token))))})
+
+    held = batched(rows.select("g", "blob")).mapInArrow(count, "g long, token long, held long").groupBy("g", "token").agg(F.sum("held").alias("held"))
+    most = held.join(rows.groupBy("g").agg(F.count("*").alias("sets")), "g").where("2 * held > sets")
+    cores = most.groupBy("g").agg(F.array_sort(F.collect_list("token")).alias("core"))  # at most twice the tokens of a group's mean set
+
+    def translate(batches):
+        for b in batches:
+            f, blobs, cores_of = [], [], {}
+            for g, n, blob, core in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                if g not in cores_of:
+                    cores_of[g] = core.values.to_numpy().view(K.U) if core.is_valid else np.zeros(0, K.U)
+                own = np.frombuffer(blob.as_buffer(), K.U)
+                left = np.setxor1d(own, cores_of[g], assume_unique=True)
+                f.append(7 * (len(left) + n - len(own)) - n)
+                blobs.append(left.tobytes())
+            key = K.mix(b.column(1).to_numpy().view(K.U) + K.mix(b.column(0).to_numpy().view(K.U)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(key.view(np.int64)), pa.array(f, pa.int64()), pa.array(blobs, pa.binary())], ["g", "node", "n", "key", "f", "left"])
+
+    moved = batched(rows.join(cores, "g", "left").select("g", "node", "n", "blob", "core")).mapInArrow(translate, "g long, node long, n long, key long, f long, left binary")
+    moved = cut(moved)
+    least = moved.groupBy("g").agg(F.min(F.struct("f", "node")).alias("least"))
+    moved = moved.join(least, "g")
+    star = moved.where("f <= -least.f").select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+
+    def rare(batches):
+        for b in batches:
+            g, key, n, f, least = (b.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
+            sets = [np.frombuffer(x.as_buffer(), K.U) for x in b.column(4)]
+            need = np.maximum(1, -(-(f + least) // 14))
+            picked = [np.sort(x)[: max(0, len(x) - int(k) + 1)] & LOW48 for x, k in zip(sets, need, strict=True)]  # how many hold a token comes first
+            owner = np.repeat(np.arange(len(key)), [len(x) for x in picked])
+            token = np.concatenate(picked) if picked else np.zeros(0, K.U)
+            token = K.mix(token + K.mix(g.view(K.U))[owner]) >> np.uint64(16)  # each group has its own
+            out = list(_pack((token % np.uint64(regions)).astype(np.int64), owner, key, n, token))
+            if out:
+                yield pa.record_batch({"region": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+    listed = batched(moved.select("g", "key", "n", "f", "left", F.col("least.f").alias("least"))).mapInArrow(rare, "region int, blob binary")
+    groups = links.components(listed.groupBy("region").applyInArrow(_near, "a long, b long")).toDF("key", "root")
+    named = moved.select("g", "node", "key").join(groups, "key").select("g", "node", "root")
+    return star, rows.join(named, ["g", "node"]).select(F.col("root").alias("g"), "node", "n", "blob")
+
+
 def _in_blocks(rows: DataFrame, sizes: DataFrame, group_bytes: int) -> DataFrame:
     """Regions that pivots do not part, as pairs of blocks that each fit a task.
 
@@ -332,10 +483,16 @@ def _large(rows: DataFrame, group_bytes: int) -> DataFrame:
     def local(groups: DataFrame) -> None:
         keep(groups.select("g", "node", "n", "blob").groupBy("g").applyInArrow(_joined, "node long, root long").toDF("a", "b"))
 
+    size = F.length("blob").cast("long")
     while True:
-        size = F.length("blob").cast("long")
+        star, rows = _by_core(cut(rows))
+        keep(star)
         rows = cut(rows)
         parent = rows.groupBy(F.col("g").alias("parent")).agg(F.sum(size).alias("whole"))
+        local(rows.join(parent.where(F.col("whole") <= group_bytes).select(F.col("parent").alias("g")), "g"))
+        rows = rows.join(parent.where(F.col("whole") > group_bytes).select(F.col("parent").alias("g")), "g", "left_semi")
+        if rows.isEmpty():
+            return found
         done = _parted(rows)
         keep(done.where("b is not null").select(F.col("node").alias("a"), "b"))
         members = done.where("b is null").drop("b")
@@ -354,10 +511,12 @@ def _large(rows: DataFrame, group_bytes: int) -> DataFrame:
         rows = members.join(going, "g", "left_semi").select("g", "node", "n", "blob")
 
 
-def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(node, root) of the sets that link to another one; root is the smallest node of a component."""
-    spark = docs.sparkSession
-    regions = parts(spark)
+def neighbourhoods(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
+    """(g, node, n, blob): distinct sets that may link to another one, by the neighbourhood g in which all their links are.
+
+    n is a set's size, blob its tokens that other sets have too, each behind how many have it.
+    """
+    regions = parts(docs.sparkSession)
 
     def deal(batches):
         seen: set[int] = set()  # equal sets leave a task once
@@ -388,13 +547,24 @@ def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text", group_b
     able = cut(able)
     near = able.mapInArrow(rarest, "region int, blob binary").groupBy("region").applyInArrow(_near, "a long, b long")
     groups = links.components(near).select("node", F.col("root").alias("g"))
-    weights = able.select("node", F.length("blob").cast("long").alias("bytes")).join(groups, "node").groupBy("g").agg(F.sum("bytes").alias("bytes"))
+    return able.join(groups, "node").select("g", "node", "n", "blob")
+
+
+def join_counts(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
+    """How each neighbourhood is joined: sets, components, pivots, regions, copies (sets in regions) and compared (pairs looked at beside the pivots')."""
+    schema = "sets long, components long, pivots long, regions long, copies long, compared long"
+    return neighbourhoods(docs, words, text).groupBy("g").applyInArrow(_counted, schema)
+
+
+def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(node, root) of the sets that link to another one; root is the smallest node of a component."""
+    members = neighbourhoods(docs, words, text)
+    weights = members.groupBy("g").agg(F.sum(F.length("blob").cast("long")).alias("bytes"))
     large = cut(weights.where(F.col("bytes") > group_bytes).select("g"))
-    members = able.join(groups, "node")
     if large.isEmpty():
         return members.groupBy("g").applyInArrow(_joined, "node long, root long")
     small = members.join(large, "g", "left_anti").groupBy("g").applyInArrow(_joined, "node long, root long")
-    return links.components(small.toDF("a", "b").union(_large(members.join(large, "g", "left_semi").select("g", "node", "n", "blob"), group_bytes)))
+    return links.components(small.toDF("a", "b").union(_large(members.join(large, "g", "left_semi"), group_bytes)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
