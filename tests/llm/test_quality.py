@@ -8,12 +8,48 @@ from tidelog.llm import kernels as K
 from tidelog.llm import quality as Q
 
 
-def test_risk_finds_the_boundary_without_negatives():
+def test_risk_finds_the_boundary_without_negatives(spark):
+    """The prior and the boundary, from good rows and a mixture of 70 and of 30 in 100."""
     rnd = np.random.default_rng(5)
-    good = rnd.normal(1.5, 1, (600, 4))
-    mixed = np.concatenate([rnd.normal(1.5, 1, (700, 4)), rnd.normal(-1.5, 1, (300, 4))])
-    model = Q.fit(good, mixed, 0.7)
-    assert model.score(rnd.normal(1.5, 1, (500, 4))).mean() > 0.85 > 0.3 > model.score(rnd.normal(-1.5, 1, (500, 4))).mean()
+    for prior in (0.7, 0.3):
+        n = int(4000 * prior)
+        good = rnd.normal(1.5, 1, (2000, Q.N_FEATURES))
+        mixed = np.concatenate([rnd.normal(1.5, 1, (n, Q.N_FEATURES)), rnd.normal(-1.5, 1, (4000 - n, Q.N_FEATURES))])
+        # fit takes every row as unlabelled, so the trusted rows raise the share
+        rows = [(True, x.tolist()) for x in good[:600]] + [(False, x.tolist()) for x in mixed]
+        model = Q.fit(spark.createDataFrame(rows, "good boolean, features array<double>"))
+        assert abs(model.prior - (n + 600) / 4600) < 0.1
+        assert model.score(rnd.normal(1.5, 1, (500, Q.N_FEATURES))).mean() > 0.8 > 0.3 > model.score(rnd.normal(-1.5, 1, (500, Q.N_FEATURES))).mean()
+
+
+def test_sums_equal_plain_ones(spark):
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(0, 1, (70, Q.N_FEATURES))
+    df = spark.createDataFrame([(i % 3 == 0, r.tolist()) for i, r in enumerate(x)], "good boolean, features array<double>").repartition(5)
+    got = Q._summed(df, lambda a, good: np.concatenate([a.sum(0), (a[good].T @ a[good]).ravel()]), Q.N_FEATURES * (Q.N_FEATURES + 1))
+    assert np.allclose(got, np.concatenate([x.sum(0), (x[::3].T @ x[::3]).ravel()]))
+
+
+def test_the_risk_for_bad_text_stays_at_zero():
+    """Where the unbiased risk's solution has a negative estimate for bad text, the least risk has it at zero; else it is that solution."""
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(0, 1, (60, 20))
+    good, every = x[:25], x
+    m = Q.Moments((good.mean(0), good.T @ good / 25), (every.mean(0), every.T @ every / 60))
+
+    def risks(w, prior):
+        return prior * ((1 - good @ w) ** 2).mean(), ((1 + every @ w) ** 2).mean() - prior * ((1 + good @ w) ** 2).mean()
+
+    free = np.linalg.solve(m.every2 + Q.RIDGE * np.eye(20), 2 * 0.9 * m.good - m.every)
+    w = Q.least_risk(m, 0.9, beta=0.0)
+    assert risks(free, 0.9)[1] < -0.1 and abs(risks(w, 0.9)[1]) < 1e-3
+    best = risks(w, 0.9)[0] + Q.RIDGE * w @ w
+    for _ in range(300):
+        v = w + rnd.normal(0, 0.05, 20)
+        one, bad = risks(v, 0.9)
+        assert one + max(0, bad) + Q.RIDGE * v @ v >= best - 1e-3
+    low = np.linalg.solve(m.every2 + Q.RIDGE * np.eye(20), 2 * 0.05 * m.good - m.every)
+    assert risks(low, 0.05)[1] > 0 and np.allclose(Q.least_risk(m, 0.05), low)
 
 
 def test_features_do_not_depend_on_neighbours():

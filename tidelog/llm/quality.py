@@ -2,8 +2,13 @@
 
 Positive-unlabelled learning: with the share of good text (the class prior) known, the risk on
 bad text is the risk of unlabelled text less the prior times that of good text. Training
-minimises this unbiased risk and keeps its estimate for bad text from going below zero by
-stepping back when it does, so that the network can't fit the positives by heart.
+minimises this unbiased risk and keeps its estimate for bad text from going below zero,
+so that the positives can't be fitted by heart. No negative label is used.
+
+The scorer is linear in fixed functions of a text's features and the loss is the square, so both risks are quadratic forms of
+second moments: one pass over all good and all unlabelled rows sums those, and the least risk is solved from them exactly. The prior
+comes from the same moments. They give the ratio of the densities of good and of unlabelled text; where it is highest nearly all text is good,
+and there the share of unlabelled rows by that of good rows is the prior.
 """
 
 from __future__ import annotations
@@ -15,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import kernels as K
-from tidelog.llm.runtime import batched, sampled
-
-#: Rows of each kind that the fit takes at most, the first by a hash of key and text.
-FIT_ROWS = 20_000
-HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-4
+from tidelog.llm.runtime import batched, cut, discard
+
+#: Random functions of the features, what holds the weights small, and halvings in search of the bound's share.
+FUNCTIONS, RIDGE, HALVINGS = 128, 1e-4, 40
+#: How far below zero the estimate for bad text may be: what chance and the prior's own error account for (its scale is 0 to 4).
+BETA = 0.4
+#: Bins of the density ratio, and the least share of good rows that an estimate of the prior rests on.
+BINS, TAIL = 512, 0.3
 N_FEATURES = 18
 
 _KIND = np.zeros(256, np.uint8)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence mark, 6 beyond ASCII
@@ -55,45 +63,76 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).astype(np.float64)
 
 
+class Basis:
+    """Fixed functions of standardised features: a constant, the features, and random ones of all of them."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 0):
+        rnd = np.random.default_rng(seed)
+        self.mean, self.scale = mean, scale
+        self.turn, self.shift = rnd.normal(0, 0.3, (len(mean), FUNCTIONS)), rnd.uniform(-1.5, 1.5, FUNCTIONS)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.mean) / self.scale, -6, 6)
+        return np.concatenate([np.ones((len(z), 1)), z / 3, np.tanh(z @ self.turn + self.shift)], 1)
+
+
 class Model:
-    def __init__(self, prior: float, mean: np.ndarray, scale: np.ndarray, weights: list[np.ndarray]):
-        self.prior, self.mean, self.scale, self.weights = prior, mean, scale, weights
+    def __init__(self, prior: float, basis: Basis, weights: np.ndarray):
+        self.prior, self.basis, self.weights = prior, basis, weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.weights
-        return 1 / (1 + np.exp(-np.clip(np.tanh((x - self.mean) / self.scale @ a + b) @ c + d, -30, 30)))
-
-
-def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> Model:
-    """A network of one hidden layer that minimises the non-negative risk by Adam."""
-    every = np.concatenate([good, unlabelled])
-    mean, scale = every.mean(0), every.std(0) + 1e-6
-    rnd = np.random.default_rng(seed)
-    w = [rnd.normal(0, 1 / np.sqrt(every.shape[1]), (every.shape[1], HIDDEN)), np.zeros(HIDDEN), rnd.normal(0, 0.3, HIDDEN), np.zeros(())]
-    x = (every - mean) / scale
-    p, u = slice(0, len(good)), slice(len(good), len(x))
-    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    for step in range(1, STEPS + 1):
-        hidden = np.tanh(x @ w[0] + w[1])
-        z = np.clip(hidden @ w[2] + w[3], -30, 30)
-        s = 1 / (1 + np.exp(-z))
-        as_bad = np.logaddexp(0, z)
-        bad_risk = as_bad[u].mean() - prior * as_bad[p].mean()
-        slope = np.zeros(len(x))
-        if bad_risk >= 0:
-            slope[p] = prior * (s[p] - 1 - s[p]) / len(good)
-            slope[u] = s[u] / len(unlabelled)
-        else:  # step back from what made the estimate negative
-            slope[p] = prior * s[p] / len(good)
-            slope[u] = -s[u] / len(unlabelled)
-        back = slope[:, None] * w[2] * (1 - hidden**2)
-        grads = [x.T @ back, back.sum(0), hidden.T @ slope, slope.sum()]
-        for i, g in enumerate(grads):
-            g = g + DECAY * w[i]
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            w[i] = w[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(prior, mean, scale, w)
+        return np.clip((1 + self.basis(x) @ self.weights) / 2, 0, 1)
+
+
+class Moments:
+    """Means of the functions and of their products over good rows and over unlabelled rows."""
+
+    def __init__(self, good: tuple[np.ndarray, np.ndarray], every: tuple[np.ndarray, np.ndarray]):
+        (self.good, self.good2), (self.every, self.every2) = good, every
+        self.solid = np.linalg.inv(self.every2 + RIDGE * np.eye(len(self.every)))
+
+    def ratio(self, good: np.ndarray) -> np.ndarray:
+        """Weights of the density ratio of good to unlabelled rows, fitted by least squares to a mean of good rows."""
+        return self.solid @ good
+
+
+def least_risk(m: Moments, prior: float, beta: float = BETA) -> np.ndarray:
+    """Weights of least non-negative risk, prior * E_good (1 - g)^2 + max(-BETA, bad), bad = E_every (1 + g)^2 - prior * E_good (1 + g)^2.
+
+    Without the bound the sum is a convex quadratic form and has one solution. If its bad is below -BETA, the least sum under the bound is that of
+    prior * E_good (1 - g)^2 + share * bad for the share below 1 at which bad is -BETA, as more weight on it only makes it less (without such a share, at none).
+    """
+
+    def solved(share: float) -> tuple[np.ndarray, float]:
+        square = prior * (1 - share) * m.good2 + share * m.every2 + RIDGE * np.eye(len(m.every))
+        w = np.linalg.solve(square, prior * (1 + share) * m.good - share * m.every)
+        return w, (1 + 2 * m.every @ w + w @ m.every2 @ w) - prior * (1 + 2 * m.good @ w + w @ m.good2 @ w)
+
+    w, bad = solved(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(HALVINGS if bad < -beta else 0):
+        middle = (low + high) / 2
+        w, bad = solved(middle)
+        low, high = (low, middle) if bad < -beta else (middle, high)
+    return w
+
+
+def _half(x: np.ndarray) -> np.ndarray:
+    """Half of the rows, by a hash of their features: the ratio is fitted to good rows of this half and looked at on those of the other."""
+    return K.mix(x.view(K.U).sum(1, dtype=K.U)) >> np.uint64(63) > 0
+
+
+def prior_of(good: np.ndarray, every: np.ndarray) -> float:
+    """The prior from histograms of the density ratio over good and over unlabelled rows.
+
+    Above any bound the unlabelled share is at least prior * the good share, and near the top no more than that. Only bounds
+    above which a share TAIL of the good rows lies are looked at, as smaller tails are chance. Without good rows it is a half.
+    """
+    if not good.sum():
+        return 0.5
+    good, every = np.cumsum(good[::-1]) / good.sum(), np.cumsum(every[::-1]) / every.sum()
+    some = good >= min(TAIL, good.max())
+    return float(np.clip((every[some] / good[some]).min(), 0.01, 0.99))
 
 
 def _featured(df: DataFrame) -> DataFrame:
@@ -109,28 +148,68 @@ def _featured(df: DataFrame) -> DataFrame:
     return batched(df).mapInArrow(scan, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """A model from docs (doc_id, text), which are the unlabelled text, and labels (doc_id, quality).
+def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
+    """The sum over all rows (good, features) of vectors that `of` gives for a batch: partial sums by task, then by place."""
 
-    Trusted positives are texts labelled 1. The prior is estimated as the share of 1 among the
-    labels. At most `rows` positives and `rows` unlabelled texts, the first by a hash of key and text, go to the
-    fit; None without a positive or without a text. Null keys, texts and labels are left out.
-    """
-    labels = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null")
-    prior = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    texts = docs.select("doc_id", "text").where("text is not null")
+    def scan(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(-1, N_FEATURES)
+                total += of(x, b.column(0).to_numpy(zero_copy_only=False))
+        yield pa.record_batch({"place": pa.array(np.arange(size)), "part": pa.array(total)})
 
-    good_ids = labels.where("quality = 1").select("doc_id").distinct()
+    table = batched(rows.select("good", "features")).mapInArrow(scan, "place long, part double").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
+    out = np.zeros(size)
+    out[table.column("place").to_numpy()] = table.column("part").to_numpy()
+    return out
 
-    def some(df: DataFrame) -> np.ndarray:
-        got = _featured(df.select("__h", "text")).orderBy("__h", "features").limit(rows).collect()
-        return np.array([r["features"] for r in got]).reshape(-1, N_FEATURES)
 
-    good = some(sampled(texts, rows, good_ids.count(), "doc_id", "text").join(good_ids, "doc_id", "left_semi"))
-    every = some(sampled(texts, rows, texts.count(), "doc_id", "text"))
-    if not len(good) or not len(every):
+def fit(rows: DataFrame) -> Model | None:
+    """A model from all rows (good, features): every row is unlabelled text, those marked good are trusted as well.
+
+    None without a good row. The driver gets sums only, whose number depends on the functions alone.
+    """
+    n = N_FEATURES
+    sums = _summed(rows, lambda x, good: np.concatenate([[len(x), good.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * n)
+    if not sums[1]:
         return None
-    return fit(good, every, min(max(prior, 0.01), 0.99))
+    mean = sums[2 : 2 + n] / sums[0]
+    basis = Basis(mean, np.sqrt(np.maximum(sums[2 + n :] / sums[0] - mean**2, 0)) + 1e-6)
+    k = 1 + n + FUNCTIONS
+
+    def products(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+        f = basis(x)
+        half = good & _half(x)
+        return np.concatenate([f[good].sum(0), (f[good].T @ f[good]).ravel(), f.sum(0), (f.T @ f).ravel(), f[half].sum(0), [half.sum()]])
+
+    found = np.split(_summed(rows, products, 2 * (k + k * k) + k + 1), np.cumsum([k, k * k, k, k * k, k]))
+    m = Moments((found[0] / sums[1], found[1].reshape(k, k) / sums[1]), (found[2] / sums[0], found[3].reshape(k, k) / sums[0]))
+    some = found[4] / max(found[5][0], 1)
+    ratio = m.ratio(some)
+    top = float(max(ratio @ some * 2, 1e-9))
+
+    def histograms(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+        at = np.clip((basis(x) @ ratio / top * BINS).astype(np.int64), 0, BINS - 1)
+        return np.concatenate([np.bincount(at[good & ~_half(x)], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
+
+    prior = prior_of(*np.split(_summed(rows, histograms, 2 * BINS), 2))
+    return Model(prior, basis, least_risk(m, prior))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from docs (doc_id, text), which are the unlabelled text, and labels (doc_id, quality).
+
+    Trusted positives are texts labelled 1; no other label is read. All rows count, none is sampled: their features are written once and
+    summed three times. None without a positive or without a text. Null keys, texts and labels are left out; a text whose
+    key comes twice among the labels counts once.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
+    found = _featured(docs.select("doc_id", "text").where("text is not null"))
+    rows = cut(found.join(good, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "features"))
+    model = fit(rows)
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
