@@ -20,6 +20,10 @@ WEIGHTS = P.learn(LABELLED)
         (f'<article><p>{SENTENCE}</p><!-- <p>no</p> --><style>p{{}}</style><div class="cookie-notice">We use cookies</div><p title="a>b">Last</p></article>', f"{SENTENCE}\n\nLast"),
         (f'<article><p>{SENTENCE}</p><section class="comments"><p>First!</p></section></article>', SENTENCE),
         (f"<article><p>{SENTENCE} <a href=x>with a link</a> in it</p></article>", f"{SENTENCE} with a link in it"),
+        (f'<article><p>{SENTENCE}</p><div class="share-price"><p>{SENTENCE}</p></div></article>', f"{SENTENCE}\n\n{SENTENCE}"),
+        (f'<main><p>{SENTENCE} {SENTENCE}</p><article class="comment"><p>{SENTENCE}</p></article></main>', f"{SENTENCE} {SENTENCE}"),
+        (f'<main><article><p>{SENTENCE}</p></article><article class="comment reply"><p>I like it.</p></article></main>', SENTENCE),
+        (f'<article><p>{SENTENCE}</p><div class="comment-list"><p>{SENTENCE}</p></div></article>', SENTENCE),
         ("", ""),
     ],
 )
@@ -39,13 +43,7 @@ def test_best_run_equals_trying_all():
     for body in (f"<article><p>{SENTENCE}</p></article>", f"<div>a b</div><div><a>x y z</a><p>{SENTENCE}</p></div><p>ok</p>"):
         parts = list(P.pieces(SHELL.format(body)))
         marked = any(k == "text" and v[1][2] and v[2] and not v[0].isspace() for k, v in parts)
-        score = []
-        for kind, v in parts:
-            if kind == "tag":
-                score.append(0 if v[1] else WEIGHTS.tag(v[0]))
-            else:
-                near = "article" if v[1][0] in ("article", "main") else v[1][0]
-                score.append(len(v[0].split()) * WEIGHTS.word(near, v[1][1], v[1][2], marked) if v[2] else 0)
+        score = [(0 if v[1] else WEIGHTS.tag(v[0])) if kind == "tag" else WEIGHTS.text(v, marked) for kind, v in parts]
         top = max(((sum(score[i:j]), -j, i) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)))
         words = " ".join(" ".join(v[0].split()) for k, v in parts[top[2] : -top[1]] if k == "text" and v[2]).split()
         assert P.extract(SHELL.format(body), WEIGHTS).split() == words
@@ -68,3 +66,18 @@ def test_words_in_pages_of_the_test_data(spark):
         article = re.search("<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", article.replace("<br>", " ").replace("<b>", ""))]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_labels_of_nested_articles():
+    """An article in a main has the weights of an article without one: a tag inside is inside at any depth."""
+    page = SHELL.format(f"<article><h1>Head</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></article>")
+    nested = page.replace("<article>", "<main><article>").replace("</article>", "</article></main>")
+    one, two = P.learn([page] * 3), P.learn([nested] * 3)
+    assert one.tags["p"] == two.tags["p"] == -0.05 and one.words == two.words
+
+
+def test_a_class_is_learnt():
+    """A class that names furniture is taken for main text where labelled pages have their sentences under it."""
+    page = SHELL.format(f'<article><div class="notices"><p>{SENTENCE} {SENTENCE}</p></div></article>')
+    assert P.extract(page, WEIGHTS) == ""
+    assert P.extract(page, P.learn([page] * 5)) == f"{SENTENCE} {SENTENCE}"

@@ -3,8 +3,8 @@
 A page becomes a sequence of words and tags. Words score by where they stand (the block around them,
 whether they are part of a link, whether the page says they belong to its article), tags score
 by their names; the weights are log odds learnt from labelled pages. A linear scan finds the
-contiguous run of the highest sum. Elements that are never main text (menus, forms, adverts,
-notices, comments and such, told by name or by class) score 0 and are left out of the run.
+contiguous run of the highest sum. Elements that are never main text (menus, forms, scripts and such, by name or role) score 0
+and are left out of the run; classes that name furniture (adverts, notices, comments) are features with learnt odds.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidelog.llm.runtime import batched, sampled
 
 #: Labelled pages that the weights are learnt from at most, the first by hash, and their greatest length.
 FIT_PAGES, FIT_CHARS = 400, 200_000
+#: Words from which a text under a class for furniture inside an article is a sentence, and words that its name weighs against it.
+SENTENCE_WORDS, PRIOR_WORDS = 12, 20
 
 # Elements by their part in HTML, and words that name page furniture in classes and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +38,8 @@ WORDS = frozenset(
     "comment comments commentlist respond reply replies discussion disqus related recommended recommendations share sharing social "
     "widget widgets pagination pager skip copyright legal search".split()
 )
+#: Parts of classes that say nothing of their own.
+PLAIN_PARTS = frozenset("list lists item items box boxes wrapper wrap container section block area bar inner outer widget buttons button links link posts form slot unit top bottom left right panel group row text thread count icons main site page primary secondary global body author meta date reply".split())
 PROSE = frozenset("p blockquote h1 h2 h3 h4 h5 h6 article dd td pre figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -48,10 +52,28 @@ _PIECE = re.compile(
 )
 _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
-Piece = tuple  # (kind, value): "tag" with a feature; "text" with (words, feature, shown, block number)
+_ARTICLE = re.compile(r"<article(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)", re.I)
+_PARTS = re.compile(r"[-_]+")
+
+Piece = tuple  # (kind, value): "tag" with (name, hidden, in the article); "text" with (words, feature, shown, block number, classes)
+
+
+def class_tokens(rest: str) -> tuple[str, ...]:
+    """The classes and ids of a tag of which a part is a word for furniture."""
+    out = []
+    for key, value in _MARKS.findall(rest):
+        if key.lower() in ("class", "id"):
+            out += [t for t in value.strip("\"'").lower().split() if not WORDS.isdisjoint(_PARTS.split(t))]
+    return tuple(out)
+
+
+def class_prior(token: str) -> float:
+    """What a class says where no page was learnt from: against main text if all its parts name furniture, else nothing."""
+    return -2.0 if all(w in WORDS or w in PLAIN_PARTS or not w for w in _PARTS.split(token)) else 0.0
 
 
 def _is_furniture(name: str, rest: str, inside_article: bool) -> bool:
+    """Whether an element is never main text by its name, its role, or as the page hides it."""
     if name in FURNITURE or (name == "header" and not inside_article):
         return True
     if rest and ("=" in rest or "hidden" in rest):
@@ -61,31 +83,36 @@ def _is_furniture(name: str, rest: str, inside_article: bool) -> bool:
                 return True
             if key == "style" and re.search(r"display\s*:\s*none", value):
                 return True
-            if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                for word in re.split(r"[\s_]+|-(?=\w)", value):
-                    if word in WORDS and not (word == "header" and inside_article):
-                        return True
     return False
 
 
+def article_names(page: str) -> tuple[str, ...]:
+    """The elements that mark a page's article: article, unless all of them are called furniture; without any, main."""
+    found = [class_tokens(m[1]) for m in _ARTICLE.finditer(page)]
+    return ("article",) if any(all(class_prior(t) == 0 for t in tokens) for tokens in found) else ("main",)
+
+
 def pieces(page: str) -> Iterator[Piece]:
     """The page as tags and stretches of text, in order."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether one is furniture
+    stack: list[tuple[str, bool, tuple, bool]] = []  # open elements: whether one is furniture, its classes for furniture, whether it marks the article
     hidden = links = articles = block = 0
-    at, near = 0, "body"
+    at, near, named, classes = 0, "body", article_names(page), ()
 
     def pop_to(i: int) -> None:
-        nonlocal hidden, links, articles, near
-        for name, furniture in stack[i:]:
+        nonlocal hidden, links, articles, near, classes
+        for name, furniture, _, marks in stack[i:]:
             hidden -= furniture
             links -= name == "a"
-            articles -= name in ("article", "main")
+            articles -= marks
+        changed = any(tokens for _, _, tokens, _ in stack[i:])
         del stack[i:]
-        near = next((n for n, _ in reversed(stack) if n in BLOCK), "body")
+        near = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "body")
+        if changed:
+            classes = tuple(t for x in stack for t in x[2])
 
     def text(s: str) -> Iterator[Piece]:
         if s:
-            yield "text", (s, (near, links > 0, articles > 0), not hidden, block)
+            yield "text", (s, (near, links > 0, articles > 0), not hidden, block, classes)
 
     for m in _PIECE.finditer(page):
         if m.start() > at:
@@ -103,15 +130,21 @@ def pieces(page: str) -> Iterator[Piece]:
             block += 1
         if name == "br":
             yield from text(" ")
-        yield "tag", (name, hidden > 0)
+        inside = articles > 0  # a tag belongs to what is around its element
         if end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
+                    shut = hidden > 0
                     pop_to(i)
+                    yield "tag", (name, shut, articles > 0)
                     break
                 if stack[i][0] in ("article", "main", "body", "table") and name not in ("body", "html", "article", "main", "section", "div", "table"):
+                    yield "tag", (name, hidden > 0, inside)
                     break
+            else:
+                yield "tag", (name, hidden > 0, inside)
             continue
+        yield "tag", (name, hidden > 0, inside)
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
         for i in range(len(stack) - 1, -1, -1):
@@ -120,11 +153,16 @@ def pieces(page: str) -> Iterator[Piece]:
                 pop_to(i)
             elif open_ in BLOCK:
                 break
+        tokens = class_tokens(rest) if "=" in rest and name not in ("html", "body", "main") else ()
+        if articles:
+            tokens = tuple(t for t in tokens if "header" not in t)
+        marks = name in named and not any(class_prior(t) < 0 for t in tokens)
         furniture = _is_furniture(name, rest, articles > 0)
-        stack.append((name, furniture))
+        stack.append((name, furniture, tokens, marks))
+        classes += tokens
         hidden += furniture
         links += name == "a"
-        articles += name in ("article", "main")
+        articles += marks
         if name in BLOCK:
             near = name
     if at < len(page):
@@ -132,10 +170,10 @@ def pieces(page: str) -> Iterator[Piece]:
 
 
 class Weights:
-    """Log odds of words by their place, of tags by their name, and where neither is known."""
+    """Log odds of words by their place, of tags by their name, of classes for furniture, and where none is known."""
 
-    def __init__(self, words: dict, tags: dict):
-        self.words, self.tags = words, tags
+    def __init__(self, words: dict, tags: dict, classes: dict | None = None):
+        self.words, self.tags, self.classes = words, tags, classes or {}
 
     def word(self, near: str, link: bool, article: bool, marked: bool) -> float:
         keys = [(near, link, article)] if marked else []
@@ -148,37 +186,65 @@ class Weights:
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.3)
 
+    def classed(self, tokens: tuple[str, ...]) -> float:
+        """What the classes around a word say: the sum of theirs, 0 where there are none."""
+        return sum(self.classes[t] if t in self.classes else class_prior(t) for t in set(tokens)) if tokens else 0.0
+
+    def left_out(self, tokens: tuple[str, ...]) -> bool:
+        """Whether classes speak so much against a text (an advert or a comment, say) that it is left out of a run around it."""
+        return bool(tokens) and self.classed(tokens) <= -1
+
+    def text(self, value: tuple, marked: bool) -> float:
+        """The score of a stretch of text; none for what a run that holds it leaves out."""
+        string, (near, link, article), shown, _, tokens = value
+        n = len(string.split()) if shown and not self.left_out(tokens) else 0
+        if not n:
+            return 0.0
+        own = self.word("article" if near in ("article", "main") else near, link, article, marked)
+        classed = self.classed(tokens)
+        return n * (min(own, 0.0) + classed if classed < 0 else own)
+
 
 def learn(labelled: list[tuple[str, bool]] | list[str]) -> Weights:
-    """Weights from pages whose article or main element is the label: what lies in it is main text."""
+    """Weights from pages whose article (or main, without one) is the label: what lies in it is main text.
+
+    A class for furniture counts for main text where sentences stand under it inside the article, and against it elsewhere;
+    short texts under it inside the article count for neither.
+    """
     words: dict[tuple, Counter] = {}
     tags: dict[str, Counter] = {}
-    for page in labelled:
-        inside = 0
-        for kind, value in pieces(page):
-            if kind == "tag":
-                name, hidden = value
-                if name in ("article", "main"):
-                    inside = 1 - inside
-                tags.setdefault(name, Counter())[bool(inside) and not hidden] += 1
-            else:
-                string, (near, link, article), shown, _ = value
-                n = len(string.split())
-                own = "article" if near in ("article", "main") else near
-                for k in ((own, link, article), (own, link, None), (None, link, None)):
-                    words.setdefault(k, Counter())[article and shown] += n
+    classes: dict[str, Counter] = {}
 
     def odds(c: Counter) -> float:
         return math.log((c[True] + 1) / (c[False] + 1))
 
-    return Weights(
-        {k: max(-3.0, min(3.0, odds(c))) for k, c in words.items() if sum(c.values())},
-        {k: max(-1.0, min(-0.05, odds(c) / 3)) for k, c in tags.items()},
-    )
+    parted = [list(pieces(page)) for page in labelled]
+    for parts in parted:
+        for kind, value in parts:
+            n = len(value[0].split()) if kind == "text" and value[4] and value[2] else 0
+            for t in set(value[4]) if n and (n >= SENTENCE_WORDS or not value[1][2]) else ():
+                classes.setdefault(t, Counter())[value[1][2]] += n
+    found = Weights({}, {}, {t: max(-3.0, min(0.0, odds(c + Counter({False: PRIOR_WORDS if class_prior(t) else 0})))) for t, c in classes.items()})
+    for parts in parted:
+        for kind, value in parts:
+            if kind == "tag":
+                name, hidden, inside = value
+                tags.setdefault(name, Counter())[inside and not hidden] += 1
+                continue
+            string, (near, link, article), shown, _, tokens = value
+            if article and found.left_out(tokens):
+                continue
+            own = "article" if near in ("article", "main") else near
+            for k in ((own, link, article), (own, link, None), (None, link, None)):
+                words.setdefault(k, Counter())[article and shown] += len(string.split())
+    found.words = {k: max(-3.0, min(3.0, odds(c))) for k, c in words.items() if sum(c.values())}
+    found.tags = {k: max(-1.0, min(-0.05, odds(c) / 3)) for k, c in tags.items()}
+    return found
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The page's main text: blocks joined by an empty line, words in a block by a space."""
+    """The page's main text: blocks joined by an empty line, words in a block by a space.
+    """
     if not page:
         return ""
     parts = list(pieces(page))
@@ -187,10 +253,8 @@ def extract(page: str | None, weights: Weights) -> str:
     for i, (kind, value) in enumerate(parts):
         if kind == "tag":
             total += weights.tag(value[0]) if not value[1] else 0.0
-        elif value[2]:
-            string, (near, link, article), _, _ = value
-            if n := len(string.split()):
-                total += n * weights.word("article" if near in ("article", "main") else near, link, article, marked)
+        else:
+            total += weights.text(value, marked)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -199,7 +263,7 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     blocks: dict[int, list[str]] = {}
     for kind, value in parts[slice(*best_range)]:
-        if kind == "text" and value[2]:
+        if kind == "text" and value[2] and not weights.left_out(value[4]):
             blocks.setdefault(value[3], []).append(value[0])
     joined = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n\n".join(b for b in joined if b)
