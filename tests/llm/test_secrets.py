@@ -73,3 +73,41 @@ def test_unquoted_and_digit_free_secrets(spark):
     assert not any(r.is_secret for r in rows if r.doc_id == len(cases))
     long = spark.createDataFrame([(1, "token " + "x!" * 500_000)], "doc_id long, text string")
     assert [r.candidate for r in S.candidates(long).collect()] == ["x!" * 500_000]
+
+
+def test_many_candidates_of_one_text(spark):
+    """Places of 20,000 candidates in one text; the work grows with the text, not with its square."""
+    words = [f"{i:016x}" for i in range(20_000)]
+    got = S.candidates(spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words[:3]))], "doc_id long, text string")).collect()
+    whole = sorted((r.start, r.candidate) for r in got)
+    assert whole == sorted([(17 * i, w) for i, w in enumerate(words)] + [(17 * i, w) for i, w in enumerate(words[:3])])
+
+
+def test_recall_of_planted_secrets(spark):
+    """Secrets of forms that the labelled findings do not have, planted in the words of the test data, among look-alikes."""
+    import random
+
+    rnd = random.Random(11)
+
+    def drawn(alphabet, n):
+        return "".join(rnd.choices(alphabet, k=n))
+
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200 and lang = 'en'").orderBy("doc_id").limit(200).collect()]
+    planted, rows = {}, []
+    for i, t in enumerate(texts):
+        true = i % 2 == 0
+        if true:
+            value = rnd.choice([drawn(low + up + digit, 24), drawn("0123456789abcdef", 40), "AKIA" + drawn(up + digit, 16), drawn(low + digit, 32), drawn(up + low + digit + "+/", 44)])
+            line = rnd.choice(["export APP_TOKEN={}", 'client.secret = "{}"', "Authorization: Bearer {}", "db_password: {}", "AWS_ACCESS_KEY_ID={}", '{{"api_key": "{}"}}'])
+        else:
+            value = rnd.choice([drawn("0123456789abcdef", 40), drawn(low, 6) + "-" + drawn(low, 7) + "-" + drawn(low, 8), drawn(digit, 17)])
+            line = rnd.choice(["commit {}", "sha1 checksum {}", "see https://www.example.org/path/{}/index.html", "order {}"])
+        at = t.index(" ", len(t) // 2 if " " in t[len(t) // 2 :] else 0)
+        planted[i] = (value, true)
+        rows.append((i, f"{t[:at]}\n{line.format(value)}\n{t[at:]}"))
+    found = {(r.doc_id, r.candidate): r.is_secret for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), S.train(S.labelled_findings(spark))).collect()}
+    hits = [any(s and d == i and v in c for (d, c), s in found.items()) for i, (v, true) in planted.items() if true]
+    false = [any(s and d == i and v in c for (d, c), s in found.items()) for i, (v, true) in planted.items() if not true]
+    print("recall", sum(hits) / len(hits), "false", sum(false) / len(false))
+    assert sum(hits) / len(hits) > 0.9 and sum(false) / len(false) < 0.1

@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names that say a secret follows, with what may stand between: a sign, a quote, a space.
@@ -33,23 +33,24 @@ DICTIONARY = (
     "example|sample|test|user|name|your|here|data|file|image|index|page|public|static|config|default|version|release|update|value|string|number|"
     "class|object|array|table|model|server|client|service|module|package|order|invoice|report|document|xxxx|1234|abcd|html|http|www|com|org|the|and|for|with"
 )
-FEATURES = ("length", "transitions", "case_turns", "bigrams", "distinct", "digits", "hexadecimal", "dictionary", "slashes", "in_path", "quoted", "for", "against", "dashes")
+FEATURES = ("length", "transitions", "case_turns", "bigrams", "distinct", "digits", "hexadecimal", "dictionary", "slashes", "in_path", "quoted", "for", "against", "dashes", "kinds", "word_run")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, finding, start, candidate, before, after): each candidate of the whole texts, in order from 0."""
-    gaps, found = F.split(F.col(text), CANDIDATE), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
-    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(key, gaps.alias("gaps"), found.alias("found"))
-    ends = F.aggregate(
-        F.arrays_zip(F.slice("gaps", F.lit(1), F.size("found")).alias("gap"), F.col("found").alias("hit")),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x["gap"]) + F.char_length(x["hit"]))),
-    )
-    rows = rows.withColumn("ends", ends).select("*", F.posexplode("found").alias("finding", "candidate"))
-    start = F.get("ends", F.col("finding")) + F.char_length(F.get("gaps", F.col("finding")))
-    return rows.select(
-        key, "finding", start.alias("start"), "candidate", F.right(F.get("gaps", F.col("finding")), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", F.col("finding") + 1), F.lit(NEAR)).alias("after")
+    """(key, finding, start, candidate, before, after): each candidate of the whole texts, in order from 0.
+
+    A text becomes a row for each candidate with its neighbours and the length before it; places are running sums of those
+    lengths over a text's rows, so the work is in proportion to the text whatever the number of candidates.
+    """
+    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.split(F.col(text), CANDIDATE).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    pieces = F.transform(
+        "found",
+        lambda hit, i: F.struct(hit.alias("candidate"), F.char_length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(NEAR)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("after")),
     )
+    rows = rows.select("key", "row", F.posexplode(pieces).alias("finding", "piece")).select("key", "row", "finding", "piece.*")
+    ahead = Window.partitionBy("row").orderBy("finding").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.char_length("candidate")).over(ahead), F.lit(0))
+    return rows.select(F.col("key").alias(key), "finding", start.cast("long").alias("start"), "candidate", "before", "after")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -80,6 +81,8 @@ def featured(found: DataFrame, turns: dict[str, float]) -> DataFrame:
         "for": F.when(before.rlike(rf"\b\w*({FOR})\w*\W*$"), 2).when(before.rlike(FOR), 1).otherwise(0),
         "against": F.when(before.rlike(rf"\b({AGAINST})\w*\W*$"), 2).when(before.rlike(AGAINST), 1).otherwise(0),
         "dashes": _count(c, "[-_]"),
+        "kinds": sum((F.when(c.rlike(k), 1).otherwise(0) for k in ("[A-Z]", "[0-9]", "[^A-Za-z0-9_./-]")), F.when(c.rlike("[a-z]"), 1).otherwise(0)),
+        "word_run": F.array_max(F.transform(F.split(F.lower(c), "[^a-z]+"), F.char_length)) / n,
     }
     return found.withColumns({f"f_{k}": v.cast("double") for k, v in values.items()})
 
@@ -132,7 +135,7 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return Forest(turns, [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees])
 
 
-def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 1) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 3_600, seed: int = 1) -> DataFrame:
     """Findings with known labels, drawn from the forms that keys and look-alikes have."""
     rnd = random.Random(seed)
     alphabets = {"hex": "0123456789abcdef", "b64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "up": string.ascii_uppercase + string.digits}
@@ -146,7 +149,7 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 1) -> Dat
         noise = " ".join(rnd.choices(words, k=rnd.randrange(5)))
         name = rnd.choice(["token", "secret", "api_key", "password", "auth_token", "AWS_SECRET", "client_secret", "bearer", "private key", "access token", "apikey", "PASSWORD"])
         sign = rnd.choice([" = \"", "=", ": ", " = '", ": \"", ' "', " "])
-        form = rnd.randrange(16)
+        form = rnd.randrange(19)
         if form == 0:
             rows.append((drawn("hex", rnd.choice([32, 40, 64])), f"{noise} {name}{sign}", '" ', 1))
         elif form == 1:
@@ -172,14 +175,20 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 1) -> Dat
             rows.append((rnd.choice(["your_api_key_here_1", "xxxxxxxxxxxxxxxxxxx1", "example-token-123456", "1234567890123456", "abcdefabcdef1234567890", "changeme123456789"]), f"{noise} {name}{sign}", '" ', 0))
         elif form == 11:
             rows.append(("".join(rnd.choices(words, k=4)) + str(rnd.randrange(100)), f"{noise} ", " ", 0))
-        elif form == 12:
-            rows.append(("".join(rnd.choices(string.ascii_letters, k=rnd.randrange(16, 41))), f"{noise} {name}{sign}", rnd.choice(['" ', " ", "\n"]), 1))
+        elif form in (12, 18):
+            blocks = "".join("".join(rnd.choices([string.ascii_lowercase, string.ascii_uppercase][i % 2], k=rnd.randrange(2, 6))) for i in range(rnd.randrange(5, 11)))
+            rows.append((rnd.choice([blocks.ljust(16, "q"), "".join(rnd.choices(string.ascii_letters, k=rnd.randrange(16, 41)))]), f"{noise} {name}{sign}", rnd.choice(['" ', " ", "\n"]), 1))
         elif form == 13:
-            w = "".join(rnd.choices(words, k=rnd.randrange(1, 4)))
+            w = "".join(rnd.choices(words, k=rnd.randrange(1, 4))) + rnd.choice(["", "", "ation", "ization", "ments", "ness", "ability", "ingly"])
             rows.append((w + "." * max(rnd.randrange(2), 8 - len(w)), f"{noise} {name}{sign}", rnd.choice([" ", '" ', "\n"]), 0))
         elif form == 14:
             some = rnd.choices(words, k=rnd.randrange(4, 7))
             rows.append((rnd.choice(["-", "/", "_", "."]).join(some) + rnd.choice(["", "."]), f"{noise} ", " ", 0))
+        elif form == 15:
+            site, page = rnd.choices(words, k=2)
+            rows.append((drawn(rnd.choice(["hex", "hex", "url"]), rnd.choice([24, 32, 40])), f"{noise} {rnd.choice(['https://www.', 'http://', 'href=', ''])}{site}.{rnd.choice(['org', 'com', 'net'])}/{page}/", rnd.choice(["/index.html", "/", ".png ", " "]), 0))
+        elif form == 16:
+            rows.append((drawn("hex", rnd.choice([16, 24, 32, 40, 64])), f"{noise} {rnd.choice([*words, 'order', 'record', 'item', 'row', 'etag:', 'revision'])} ", rnd.choice([" ", ", ", "\n"]), 0))
         else:
             some = rnd.choices(words, k=rnd.randrange(4, 7))
             rows.append((rnd.choice([some[0] + "".join(map(str.title, some[1:])), "_".join(some).upper(), "".join(some) + "."]), f"{noise} {rnd.choice(['', 'class ', 'the '])}", " ", 0))
