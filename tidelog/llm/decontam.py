@@ -4,7 +4,7 @@ A window is `words` consecutive words of an item (the whole item if it is shorte
 window a document must hold each of its words, so the join needs one prefix token of each
 window: its rarest word in the corpus. Occurrences of prefix words give candidate positions,
 which the positional bounds (the window must lie within the document) and the exact sequence
-then verify. Windows go to the workers in blocks of at most BLOCK, whatever the benchmark's size.
+then verify. The corpus is counted once for the words of all windows. Windows go to the workers in blocks of at most BLOCK, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tidelog.llm import kernels as K
 from tidelog.llm.runtime import batched, cut
 
 WORDS = 10
-#: Windows in one broadcast: about 250 bytes each at most.
+#: Windows in one broadcast, about 60 bytes each and their items; ten times as many words in one of the count.
 BLOCK = 200_000
 SLOTS = 20
 
@@ -59,43 +59,52 @@ class _Lookup:
         return at[hit], key[hit]
 
 
-def _rarity(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How often each word of a block's windows stands in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _rarity(docs: DataFrame, windows: DataFrame, block: int) -> DataFrame:
+    """(word, n): how often each word of all windows stands in all documents. A scan for each `block` words of the windows."""
+    spark = docs.sparkSession
+    words = cut(windows.select(F.explode("tokens").alias("word")).distinct())
+    blocks = max(1, -(-words.count() // block))
+
+    def count_of(shared):
+        def count(batches):
+            look, n = _Lookup(shared.value), np.zeros(len(shared.value), np.int64)
+            for b in batches:
+                for _, _, raw, off in K.chunks(b.column(0)):
+                    np.add.at(n, look.find(K.words(raw, off, K.PLAIN)[0])[1], 1)
+            at = np.flatnonzero(n)
+            yield pa.record_batch({"word": pa.array(shared.value[at].view(np.int64)), "n": pa.array(n[at])})
+
+        return count
+
+    found = None
+    for k in range(blocks):
+        own = words.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).toArrow().column("word").to_numpy()
+        part = batched(docs).mapInArrow(count_of(spark.sparkContext.broadcast(np.sort(own.view(K.U)))), "word long, n long")
+        found = part if found is None else found.union(part)
+    return words.join(found.groupBy("word").agg(F.sum("n").alias("n")), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
-    def count(batches):
-        look, n = _Lookup(shared.value), np.zeros(len(shared.value), np.int64)
-        for b in batches:
-            for _, _, raw, off in K.chunks(b.column(0)):
-                np.add.at(n, look.find(K.words(raw, off, K.PLAIN)[0])[1], 1)
-        at = np.flatnonzero(n)
-        yield pa.record_batch({"word": pa.array(at), "n": pa.array(n[at])})
 
-    out = np.zeros(len(vocabulary), np.int64)
-    for r in batched(docs).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r["word"]] = r["n"]
-    return out
+def _prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(gram, size, word, offset, item_ids) of each distinct window: its rarest word (ties: by word, then the first), where that stands in it, its items."""
+    each = windows.groupBy("gram").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.collect_set("item_id").alias("item_ids"))
+    each = cut(each)
+    word = each.select("gram", F.posexplode("tokens").alias("offset", "word")).join(rarity, "word")
+    rarest = word.groupBy("gram").agg(F.min(F.struct("n", "word", "offset")).alias("one"))
+    return cut(each.join(rarest, "gram").select("gram", "size", "one.word", "one.offset", "item_ids"))
 
 
-def _plan(docs: DataFrame, block: list) -> dict:
+def _plan(block: pa.Table) -> dict:
     """The prefix table of one block of windows."""
-    grams, first = np.unique(np.array([r["gram"] for r in block], np.int64).view(K.U), return_index=True)
-    tokens = [np.array(block[i]["tokens"], np.int64).view(K.U) for i in first]
-    vocabulary = np.unique(np.concatenate(tokens)) if tokens else np.zeros(0, K.U)
-    often = _rarity(docs, vocabulary)
-    word, offset = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
-    for i, t in enumerate(tokens):
-        at = np.searchsorted(vocabulary, t)
-        offset[i] = np.lexsort((at, often[at]))[0]
-        word[i] = at[offset[i]]
+    block = block.sort_by("word")
+    gram, word = (block.column(c).to_numpy().view(K.U) for c in ("gram", "word"))
     order = np.argsort(word, kind="stable")
-    used, begin = np.unique(word[order], return_index=True)
-    owner = np.searchsorted(grams, np.array([r["gram"] for r in block], np.int64).view(K.U))
-    by = np.argsort(owner, kind="stable")
+    gram, word = gram[order], word[order]
+    used, begin = np.unique(word, return_index=True)
+    items = block.column("item_ids").combine_chunks().take(pa.array(order))
     return {
-        "prefix": vocabulary[used], "begin": np.append(begin, len(order)), "window": order, "offset": offset, "gram": grams,
-        "size": np.array([block[i]["size"] for i in first], np.int64),
-        "items": [block[i]["item_id"] for i in by], "items_at": np.searchsorted(owner[by], np.arange(len(grams) + 1)),
+        "prefix": used, "begin": np.append(begin, len(word)), "window": np.arange(len(word)), "gram": gram,
+        "offset": block.column("offset").to_numpy()[order].astype(np.int64), "size": block.column("size").to_numpy()[order].astype(np.int64),
+        "items": items.flatten().to_pylist(), "items_at": np.append(0, np.cumsum(items.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64),
     }
 
 
@@ -126,7 +135,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, words: int = WORDS, blo
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     windows = cut(_windows(items, words).dropDuplicates(["item_id", "gram"]))
     blocks = max(1, -(-windows.count() // block))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)))
+    windows = _prefixes(windows, _rarity(docs.select("text"), windows, 10 * block)).withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)))
     item, doc = items.schema[0].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc}, tag long, n_words long, spans array<struct<start:long,words:long>>, item_ids array<{item}>"
     keyed = docs.withColumn("tag", F.xxhash64("doc_id", "text"))
@@ -162,7 +171,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, words: int = WORDS, blo
 
     found = None
     for k in range(blocks):
-        plan = _plan(docs.select("text"), windows.where(F.col("block") == k).collect())
+        plan = _plan(windows.where(F.col("block") == k).drop("block").toArrow())
         part = batched(keyed).mapInArrow(scan_of(spark.sparkContext.broadcast(plan)), schema)
         found = part if found is None else found.unionByName(part)
     if blocks == 1:
