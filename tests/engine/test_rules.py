@@ -12,7 +12,7 @@ from tidelog.functions import documents as D
 from tidelog.functions import rules
 from tidelog.operators import apply, digest, invariants, log
 from tidelog.sources.fixtures import Tables
-from tidelog.streaming.apply_stream import apply_stream, published
+from tidelog.streaming.apply_stream import apply_stream, dedupe_stream, fold, health_stream, published, replay
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -138,13 +138,46 @@ def test_saturating_arithmetic_and_versions(spark):
 def test_stream_equals_batch(spark, tmp_path):
     """Changes that arrive in files, one file a batch, end in the rows of the whole log; a run again changes nothing."""
     t = Tables(spark, FOLDER)
-    source = tmp_path / "log"
-    for i in range(3):
-        t.change_log.where(F.col("seq").between(i * 40 + 1, i * 40 + 40)).coalesce(1).write.mode("append").parquet(str(source))
-    schema = spark.read.parquet(str(source)).schema
-    for _ in range(2):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-        apply_stream(stream, str(tmp_path / "state"), str(tmp_path / "offsets")).awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
-    got = sorted(map(tuple, published(spark, str(tmp_path / "state"), last).collect()))
-    assert got == sorted(tuple(r)[:4] for r in log.live_rows(t.change_log.where("seq <= 120")).collect())
+    source, state = str(tmp_path / "log"), str(tmp_path / "state")
+    replay(t.change_log.where("seq <= 120"), source, 3)
+    schema = spark.read.parquet(source).schema
+    for checkpoint in ("one", "one", "two"):  # a new checkpoint over the old state brings the same changes again, in order
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        apply_stream(stream, state, str(tmp_path / checkpoint)).awaitTermination()
+        assert sorted(map(tuple, published(spark, state).collect())) == sorted(tuple(r)[:4] for r in log.live_rows(t.change_log.where("seq <= 120")).collect())
+    heads = {r.scope: r.head for r in log.scope_heads(t.change_log.where("seq <= 120")).collect()}
+    assert dict(map(tuple, published(spark, state, "cursors").collect())) == heads
+
+
+def test_what_is_beyond_the_watermark_waits(spark, tmp_path):
+    """A change above the watermark is not lost and not applied before the watermark passes it."""
+    t = Tables(spark, FOLDER)
+    state, rows = str(tmp_path / "state"), t.change_log.drop("written_at")
+    for number, (low, high, watermark) in enumerate([(0, 40, 25), (40, 80, 30), (80, 81, 200)]):
+        batch = rows.where(F.col("seq").between(low + 1, high))
+        for _ in range(2):  # a batch that is run again
+            fold(batch, state, f"t#{number}", watermark)
+        upto = min(high, watermark)
+        assert sorted(map(tuple, published(spark, state).collect())) == sorted(tuple(r)[:4] for r in log.live_rows(rows.where(F.col("seq") <= upto)).collect())
+        assert published(spark, state, "withheld").count() == high - upto
+
+
+def _streamed(spark, tmp_path, df, make, files, order):
+    """The rows that a stream of df's files gives, one file a batch."""
+    replay(df, str(tmp_path / "in"), files, order)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    make(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_streamed_health_equals_the_fold(spark, tmp_path):
+    rows = [(d, "s", k, (d + k) % 3 == 0, k % 2 == 0, (d + k) % 5 != 0) for d in range(4) for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "device_id int, scope string, step long, diverged boolean, rebuilding boolean, compared boolean")
+    got = _streamed(spark, tmp_path, df, health_stream, 3, "step")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apply.scope_health(df).collect()))
+
+
+def test_streamed_dedupe(spark, tmp_path):
+    rows = [("a", 1, "x"), ("b", 2, "y"), ("a", 3, "x"), ("a", 4, "z"), ("b", 5, "y"), ("c", 6, "q"), ("a", 7, "x")]
+    got = _streamed(spark, tmp_path, spark.createDataFrame(rows, "id string, attempt int, payload_checksum string"), dedupe_stream, 3, "attempt")
+    assert [r.decision for r in got.orderBy("attempt").collect()] == ["fresh", "fresh", "replay", "mutated", "replay", "fresh", "replay"]

@@ -70,12 +70,17 @@ def lww_winner(incoming: Column, stored: Column) -> Column:
     return F.when(incoming > stored, "incoming").when(incoming < stored, "stored").otherwise("tie")
 
 
-def compressed(size: Column) -> Column:
-    """The stand-in compressor: a third, rounded up."""
-    return F.ceil(size / 3).cast("long")
+def compressed(size: Column, ratio: int = 3) -> Column:
+    """The stand-in compressor: one part in `ratio`, rounded up."""
+    return F.ceil(size / ratio).cast("long")
 
 
 def saturating_add(a: Column, b: Column) -> Column:
     """Milliseconds that stop at the ends of 64 bits."""
     top, low = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
     return F.coalesce(F.try_add(a, b), F.when(b > 0, top).otherwise(low))
+
+
+def skewed_clock(true_ms: Column, offset_ms: Column) -> Column:
+    """What a device's clock shows: the true time off by its skew, stopping at the ends of 64 bits."""
+    return saturating_add(true_ms, offset_ms)

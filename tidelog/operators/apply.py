@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,44 @@ def append_only_overwrites(log: DataFrame, registry: DataFrame) -> DataFrame:
     """Upserts of append-only entities over a live row of another version."""
     append = registry.where("conflict_class = 'append_only'").select("entity")
     w = Window.partitionBy(*KEY).orderBy("seq")
-    rows = log.select("scope", "seq", *KEY, "op", "row_version").join(F.broadcast(append), "entity", "left_semi")
+    rows = log.select("scope", "seq", *KEY, "op", "row_version").join(append, "entity", "left_semi")
     rows = rows.withColumns({"prev_op": F.lag("op").over(w), "stored": F.lag("row_version").over(w)})
     return rows.where("op = 'upsert' and prev_op = 'upsert' and stored <> row_version").select("scope", "seq", *KEY, "stored", F.col("row_version").alias("incoming"))
 
 
+class Applied(NamedTuple):
+    """What one step leaves: live rows, cursors (scope, cursor), digests (scope, digest), the refused scopes and the staged changes."""
+
+    rows: DataFrame
+    cursors: DataFrame
+    digests: DataFrame
+    refused: DataFrame
+    staged: DataFrame
+
+
+def apply_step(changes: DataFrame, headers: DataFrame, stored: DataFrame, cursors: DataFrame, registry: DataFrame) -> Applied:
+    """One batch of each scope, applied whole or not at all.
+
+    changes (scope, position, seq, entity, entity_id, op, snapshot, row_version) of headers (scope, next_cursor), onto live rows (scope, entity,
+    entity_id, row_version) and cursors (scope, cursor). A batch out of order, or one that writes another version over a live row of an append-only
+    entity, is refused: its scope keeps rows, cursor and digest, and refused (scope, position, violation) says why, the order's rules first.
+    A batch without changes moves the cursor. The results belong together and are to be published together.
+    """
+    before = cursors.select("scope", "cursor")
+    framed = changes.join(headers.select("scope", "next_cursor"), "scope").join(before, "scope", "left").withColumns({"cursor": F.coalesce("cursor", F.lit(0)), "batch": F.lit(0)})
+    order = batch_order_violations(framed).select("scope", "position", "violation", F.lit(0).alias("rank"))
+    append = registry.where("conflict_class = 'append_only'").select("entity")
+    over = stage_changes(changes, stored).where("op = 'upsert' and held_version <> row_version").join(append, "entity", "left_semi")
+    over = over.join(changes.select("scope", "seq", "position"), ["scope", "seq"]).select("scope", "position", F.lit("append_only_overwrite").alias("violation"), F.lit(1).alias("rank"))
+    first = order.union(over).groupBy("scope").agg(F.min(F.struct("rank", F.coalesce("position", F.lit(1 << 62)).alias("position"), "violation")).alias("one"))
+    refused = first.select("scope", F.when(F.col("one.position") < 1 << 62, F.col("one.position")).alias("position"), "one.violation")
+    fit = changes.join(refused.select("scope"), "scope", "left_anti")
+    staged = stage_changes(fit, stored)
+    moved = headers.select("scope", "next_cursor").join(refused.select("scope"), "scope", "left_anti")
+    after = before.join(moved, "scope", "full").select("scope", F.coalesce("next_cursor", "cursor").alias("cursor"))
+    return Applied(apply_batch(fit, stored), after, advanced_digest(stored, digest_change(staged)), refused, staged)
+
+
 def lww(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     other = stored.select(*KEY, F.col("row_version").alias("stored_version"))
     rows = incoming.select("seq", *KEY, F.col("row_version").alias("incoming_version")).join(other, [*KEY])
@@ -96,20 +131,22 @@ def migration_plan(rows: DataFrame, steps: DataFrame) -> DataFrame:
 def migrated(rows: DataFrame, steps: DataFrame, step: dict[int, Column] | None = None) -> DataFrame:
     """rows with status and the snapshot after all steps; step[v] is the snapshot at v + 1 from that at v.
 
-    Tombstones and rows without a target stay as they are; a row without a path keeps its bytes (status no_path).
+    Tombstones and rows without a target stay as they are; a row without a path keeps its bytes (status no_path),
+    and so does one of which a step fails, that is gives null (status failed): nothing is half migrated.
     """
     plan = migration_plan(rows.where("target is not null"), steps)
-    out = rows.join(F.broadcast(plan), ["entity", "schema_version", "target"], "left").withColumn("status", F.coalesce("status", F.lit("identity")))
-    ready = (F.col("status") == "ready") & F.col("snapshot").isNotNull()
+    out = rows.join(plan, ["entity", "schema_version", "target"], "left").withColumns({"status": F.coalesce("status", F.lit("identity")), "__kept": F.col("snapshot")})
+    ready = (F.col("status") == "ready") & F.col("__kept").isNotNull()
     for v in sorted(step or {}):
-        due = ready & (F.col("schema_version") <= v) & (F.col("target") > v)
+        due = ready & F.col("snapshot").isNotNull() & (F.col("schema_version") <= v) & (F.col("target") > v)
         out = out.withColumn("snapshot", F.when(due, step[v]).otherwise(F.col("snapshot")))
-    return out
+    failed = ready & F.col("snapshot").isNull()
+    return out.withColumns({"status": F.when(failed, "failed").otherwise(F.col("status")), "snapshot": F.coalesce("snapshot", "__kept")}).drop("__kept")
 
 
 def rebootstrap_clear(device_rows: DataFrame, rebuilt: DataFrame, registry: DataFrame) -> DataFrame:
     """device_rows without the rows of entities of the scopes (device_id, scope) that are being rebuilt."""
-    gone = rebuilt.select("device_id", "scope").join(F.broadcast(registry.select("scope", "entity")), "scope")
+    gone = rebuilt.select("device_id", "scope").join(registry.select("scope", "entity"), "scope")
     return device_rows.join(gone.select("device_id", "entity").distinct(), ["device_id", "entity"], "left_anti")
 
 

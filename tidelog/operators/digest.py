@@ -34,3 +34,9 @@ def digest(rows: DataFrame, *by: str, row_hash: Column | None = None) -> DataFra
     """The digest of each group of rows (entity, entity_id, row_version), by partial sums."""
     hashed = rows.withColumn("__hash", md5_row_hash() if row_hash is None else row_hash)
     return hashed.groupBy(*by).agg(F.count("*").alias("rows"), *limbs(F.col("__hash"))).select(*by, "rows", normalised().alias("digest"))
+
+
+def from_hex(text: Column) -> list[Column]:
+    """Limbs limb0..limb3 of a digest that is written as 32 hexadecimal digits; null if it is not."""
+    good = F.when(text.rlike("^[0-9a-f]{32}$"), text)
+    return [F.conv(F.substring(good, 8 * i + 1, 8), 16, 10).cast("long").alias(f"limb{i}") for i in range(LIMBS)]

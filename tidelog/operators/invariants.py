@@ -11,14 +11,17 @@ ROW = ("device_id", *KEY)
 
 
 def cursor_monotonic(history: DataFrame) -> DataFrame:
-    """Steps at which a cursor is behind the highest before."""
-    w = Window.partitionBy("device_id", "scope").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return history.withColumn("highest", F.max("cursor_seq").over(w)).where("cursor_seq < highest").select("device_id", "scope", "step", "cursor_seq", "highest")
+    """Steps at which a cursor is behind the highest before, or is gone while its device still reports at a later step (cursor null)."""
+    own = ["device_id", "scope"]
+    w = Window.partitionBy(*own).orderBy("step")
+    steps = history.select("device_id", "step").distinct().join(history.select(*own).distinct(), "device_id")
+    rows = steps.join(history, [*own, "step"], "left").withColumn("highest", F.max("cursor_seq").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.where("highest is not null and (cursor_seq is null or cursor_seq < highest)").select(*own, "step", "cursor_seq", "highest")
 
 
 def cursor_bounds(devices: DataFrame, log: DataFrame) -> DataFrame:
     """Cursors beyond their scope's head; a scope without changes has head 0."""
-    rows = devices.join(F.broadcast(scope_heads(log)), "scope", "left").withColumn("head", F.coalesce("head", F.lit(0)))
+    rows = devices.join(scope_heads(log), "scope", "left").withColumn("head", F.coalesce("head", F.lit(0)))
     return rows.where("cursor_seq > head").select("device_id", "scope", "cursor_seq", "head")
 
 
@@ -61,7 +64,7 @@ def convergence(device_digests: DataFrame, server_digests: DataFrame) -> DataFra
 
 def policy(superseded: DataFrame, recovered: DataFrame, registry: DataFrame) -> DataFrame:
     """Superseded drafts (id, entity) that were not recovered, and recovered ones that are no owner's draft."""
-    drafts = F.broadcast(registry.select("entity", "conflict_class"))
+    drafts = registry.select("entity", "conflict_class")
     lost = superseded.join(drafts, "entity").where("conflict_class = 'owner_draft'").join(recovered.select("id"), "id", "left_anti")
     wrong = recovered.join(drafts, "entity", "left").where("not (conflict_class <=> 'owner_draft')")
     return lost.select("id", "entity", F.lit("not_recovered").alias("violation")).union(wrong.select("id", "entity", F.lit("wrong_class").alias("violation")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions import documents
 from tidelog.functions.rules import compressed
 
 KEY = ("entity", "entity_id")
@@ -53,11 +54,18 @@ def live_rows(log: DataFrame) -> DataFrame:
 
 
 def rows_at(devices: DataFrame, log: DataFrame) -> DataFrame:
-    """What each device holds at its cursor: the last change of each row up to it, tombstones left out."""
-    narrow = log.select("scope", *KEY, "op", "row_version", "seq")
-    joined = devices.select("device_id", "scope", "cursor_seq").join(narrow, "scope").where("seq <= cursor_seq")
-    last = latest(joined, "device_id", keep=("scope", "op", "row_version"))
-    return last.where("op = 'upsert'").select("device_id", "scope", *KEY, "row_version")
+    """What each device holds at its cursor: the last change of each row up to it, tombstones left out.
+
+    Cursors stand among the changes of each row of their scope, and the last change before a cursor is carried forward to it:
+    the work is that of the log and of the result, not of devices by changes.
+    """
+    keys = log.select("scope", *KEY).distinct()
+    marks = devices.select("device_id", "scope", F.col("cursor_seq").alias("seq")).join(keys, "scope")
+    changes = log.select("scope", *KEY, "seq", F.struct("op", "row_version").alias("change"))
+    both = changes.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("scope", *KEY).orderBy("seq", F.col("device_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("last", F.last("change", ignorenulls=True).over(w))
+    return rows.where("device_id is not null and last.op = 'upsert'").select("device_id", "scope", *KEY, F.col("last.row_version").alias("row_version"))
 
 
 def scope_heads(log: DataFrame) -> DataFrame:
@@ -66,12 +74,10 @@ def scope_heads(log: DataFrame) -> DataFrame:
 
 def visible_head(log: DataFrame, inflight: DataFrame) -> DataFrame:
     """The end of each scope's committed prefix: before its first change in flight."""
-    rows = log.select("scope", "seq").join(inflight.select("seq", F.lit(True).alias("open")), "seq", "left")
-    hole = F.min(F.when(F.col("open"), F.col("seq")))
-    holes = rows.groupBy("scope").agg(hole.alias("hole"))
-    kept = rows.join(F.broadcast(holes), "scope").where("hole is null or seq < hole")
-    heads = kept.groupBy("scope").agg(F.max("seq").alias("visible_head"))
-    return holes.select("scope").join(heads, "scope", "left").select("scope", F.coalesce("visible_head", F.lit(0)).alias("visible_head"))
+    holes = log.select("scope", "seq").join(inflight.select("seq"), "seq").groupBy("scope").agg(F.min("seq").alias("hole"))
+    heads = log.select("scope", "seq").join(holes, "scope", "left")
+    visible = F.max(F.when(F.col("hole").isNull() | (F.col("seq") < F.col("hole")), F.col("seq")))
+    return heads.groupBy("scope").agg(F.coalesce(visible, F.lit(0)).alias("visible_head"))
 
 
 def watermark(log: DataFrame, inflight: DataFrame) -> DataFrame:
@@ -82,31 +88,64 @@ def watermark(log: DataFrame, inflight: DataFrame) -> DataFrame:
 
 
 def watermark_polls(polls: DataFrame, inflight: DataFrame) -> DataFrame:
-    """polls (poll, allocated, oldest_open): what each poll establishes, and what is recorded, which never falls."""
-    open_ = polls.join(inflight, (F.col("seq") <= F.col("allocated")) & (F.col("seq") > F.col("oldest_open")), "left")
-    found = open_.groupBy("poll", "allocated").agg(F.min("seq").alias("first_open"))
-    found = found.withColumn("established", F.coalesce(F.col("first_open") - 1, F.col("allocated")))
+    """polls (poll, allocated, oldest_open): what each poll establishes, and what is recorded, which never falls.
+
+    A poll is not compared with each change in flight: changes and the polls' lower bounds stand in one order, in which the next
+    change after a bound is carried back to it.
+    """
+    marks = polls.select("poll", "allocated", (F.col("oldest_open") + 1).alias("at")).unionByName(inflight.select(F.col("seq").alias("at"), "seq"), allowMissingColumns=True)
+    ahead = Window.orderBy("at", F.col("poll").isNull()).rowsBetween(0, Window.unboundedFollowing)  # a poll for each cycle and the changes in flight: both are few
+    found = marks.withColumn("next", F.first("seq", ignorenulls=True).over(ahead)).where("poll is not null")
+    established = F.when(F.col("next") <= F.col("allocated"), F.col("next") - 1).otherwise(F.col("allocated"))
+    found = found.select("poll", established.alias("established"))
     recorded = F.max("established").over(Window.orderBy("poll").rowsBetween(Window.unboundedPreceding, 0))
     return found.select("poll", "established", recorded.alias("recorded"))
 
 
+def _quoted(c: str) -> Column:
+    """A name as a JSON string; the names' rules leave only two characters to escape."""
+    return F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def change_text() -> Column:
+    """A change's canonical form: sorted keys, no blanks, the snapshot canonical as well and left out of a delete."""
+    snapshot = F.when(F.col("snapshot").isNotNull(), F.concat(F.lit(',"snapshot":'), documents.canonical_json("snapshot"))).otherwise(F.lit(""))
+    parts = ['{"entity":', _quoted("entity"), ',"entity_id":', _quoted("entity_id"), ',"op":', _quoted("op"), ',"row_version":', F.col("row_version").cast("string"), ',"schema_version":', F.col("schema_version").cast("string"), ',"seq":', F.col("seq").cast("string"), snapshot, "}"]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
 def change_bytes() -> Column:
-    """Bytes of a change's canonical form, from its parts."""
-    fixed = 100
-    parts = [F.octet_length(c) for c in ("scope", "entity", "entity_id", "op")]
-    return (sum(parts[1:], parts[0]) + F.coalesce(F.octet_length("snapshot"), F.lit(4)) + fixed).cast("long")
+    """Bytes of a change's canonical form."""
+    return F.octet_length(change_text()).cast("long")
+
+
+#: Sequence numbers in a range of running totals.
+RANGE = 1 << 16
+
+
+def running(rows: DataFrame, by: str, order: str, **values: Column) -> DataFrame:
+    """rows with the running sums of values in order of a whole number, for each group of `by`.
+
+    Sums are taken within ranges of the order first, and the totals of the ranges before are added: a group's rows are
+    spread over as many tasks as it has ranges.
+    """
+    rows = rows.withColumns({f"__{k}": v for k, v in values.items()}).withColumn("__range", F.expr(f"`{order}` div {RANGE}"))
+    totals = rows.groupBy(by, "__range").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in values])
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(by, "__range", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__all_{k}") for k in values])
+    within = Window.partitionBy(by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(totals, [by, "__range"]).withColumns({k: F.col(f"__all_{k}") + F.sum(f"__{k}").over(within) for k in values})
+    return out.drop("__range", *[f"__{k}" for k in values], *[f"__all_{k}" for k in values])
 
 
 def byte_budget_page(log: DataFrame, budget: int) -> DataFrame:
-    """The first page of each scope: the longest prefix within the compressed budget, one change at least."""
-    w = Window.partitionBy("scope").orderBy("seq")
+    """The first page of each scope: the longest prefix whose canonical array is within the compressed budget, one change at least."""
     rows = log.select("scope", "seq", change_bytes().alias("bytes"))
-    rows = rows.withColumn("size", F.sum(F.col("bytes") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    rows = rows.withColumn("rn", F.row_number().over(w)).withColumn("following", F.lead("seq").over(w))
-    chosen = rows.where((F.col("rn") == 1) | (compressed(F.col("size")) <= budget))
-    last = F.max_by(F.struct("size", "following"), "seq")
-    out = chosen.groupBy("scope").agg(F.count("*").alias("changes"), F.max("seq").alias("next_cursor"), last.alias("last"))
-    return out.select("scope", "changes", "next_cursor", F.col("last.size").alias("bytes"), F.col("last.following").isNotNull().alias("has_more"))
+    rows = running(rows, "scope", "seq", size=F.col("bytes") + 1, rn=F.lit(1).cast("long"))
+    heads = scope_heads(log)
+    chosen = rows.where((F.col("rn") == 1) | (compressed(F.col("size") + 1) <= budget))
+    out = chosen.groupBy("scope").agg(F.count("*").alias("changes"), F.max("seq").alias("next_cursor"), (F.max("size") + 1).alias("bytes"))
+    return out.join(heads, "scope").select("scope", "changes", "next_cursor", "bytes", (F.col("next_cursor") < F.col("head")).alias("has_more"))
 
 
 def catch_up_walk(log: DataFrame, budget: int) -> DataFrame:

@@ -57,26 +57,27 @@ commands AS (
          CASE WHEN event_id % 50 = 0 THEN 'unknown_op'
               ELSE concat('submit_', CASE user_id % 3 WHEN 0 THEN 'draft_note' WHEN 1 THEN 'submission' ELSE 'grade' END, '_', CAST(user_id % 4 AS STRING)) END AS name,
          concat('inst:', CAST(user_id % 4 AS STRING)) AS scope,
-         concat('{"cents":', CAST(CAST(round(value * 100) AS BIGINT) AS STRING), '}') AS payload,
+         concat('{"cents":', CAST(CAST(round(value * 100) AS BIGINT) AS STRING), ',"unit":"eur"}') AS payload,
          ts AS client_ts, CAST(1 + event_id % 3 AS INT) AS schema_version
   FROM events WHERE event_type = 'purchase'),
 command_results AS (
   SELECT id AS command_id, md5(payload) AS payload_checksum,
          CASE WHEN event_id % 10 < 8 THEN 'applied' WHEN event_id % 10 = 8 THEN 'superseded' ELSE 'rejected' END AS status,
-         CASE WHEN event_id % 10 = 9 THEN 'Submission deadline passed.' END AS reason,
+         CASE WHEN event_id % 10 = 9 THEN 'The term has ended.' END AS reason,
          CASE WHEN event_id % 10 < 8 THEN event_id + 1 END AS server_seq, scope
   FROM commands WHERE event_id % 3 = 0),
 submissions AS (
   SELECT CAST(1 AS INT) AS attempt, id, scope, CASE WHEN event_id % 7 = 0 THEN '{"cents":-1}' ELSE payload END AS payload FROM commands
   UNION ALL
-  SELECT CAST(2 AS INT) AS attempt, id, scope, payload FROM commands WHERE event_id % 5 = 0),
+  SELECT CAST(2 AS INT) AS attempt, id, scope, concat('{ "unit": "eur", ', substr(replace(payload, ',"unit":"eur"', ''), 2)) AS payload FROM commands WHERE event_id % 5 = 0),
 push_results AS (
-  SELECT event_id * 2 AS position, id, CASE WHEN event_id % 10 < 8 THEN 'applied' WHEN event_id % 10 = 8 THEN 'superseded' ELSE 'rejected' END AS status
+  SELECT event_id * 2 AS position, id, CASE WHEN event_id % 10 < 8 THEN 'applied' WHEN event_id % 10 = 8 THEN 'superseded' ELSE 'rejected' END AS status,
+         CASE WHEN event_id % 10 = 9 AND event_id % 3 <> 0 THEN 'This round is over.' END AS reason
   FROM commands WHERE event_id % 4 <> 0
   UNION ALL
-  SELECT event_id * 2 + 1 AS position, id, 'rejected' AS status FROM commands WHERE event_id % 9 = 0 AND event_id % 4 <> 0
+  SELECT event_id * 2 + 1 AS position, id, 'rejected' AS status, 'A second answer.' AS reason FROM commands WHERE event_id % 9 = 0 AND event_id % 4 <> 0
   UNION ALL
-  SELECT event_id * 2 + 1 AS position, concat('01910000-0000-7000-9000-', lpad(CAST(event_id AS STRING), 12, '0')) AS id, 'applied' AS status FROM commands WHERE event_id % 11 = 0)
+  SELECT event_id * 2 + 1 AS position, concat('01910000-0000-7000-9000-', lpad(CAST(event_id AS STRING), 12, '0')) AS id, 'applied' AS status, CAST(NULL AS STRING) AS reason FROM commands WHERE event_id % 11 = 0)
 """
 
 
