@@ -33,6 +33,12 @@ def test_blake3_of_many_chunks():
     assert D.blake3_hex(data, 32).startswith("5f4d72f40d7a5f82")
 
 
+def test_blake3_of_many_rows():
+    rnd = random.Random(6)
+    data = [rnd.randbytes(n) for n in (0, 1, 63, 64, 65, 127, 128, 1000, 1023, 1024, 1025, 3000, 0, 64)]
+    assert D.blake3_rows(data) == [D.blake3_hex(x) for x in data] and D.blake3_rows([]) == []
+
+
 json_values = st.recursive(st.none() | st.booleans() | st.integers(-(1 << 63), (1 << 63) - 1) | st.text(), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(), v, max_size=3), max_leaves=8)
 
 
