@@ -512,9 +512,9 @@ def _large(rows: DataFrame, group_bytes: int) -> DataFrame:
 
 
 def neighbourhoods(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
-    """(g, node, n, blob): distinct sets that may link to another one, by the neighbourhood g in which all their links are.
+    """(g, node, n, bytes, blob): distinct sets that may link to another one, by the neighbourhood g in which all their links are.
 
-    n is a set's size, blob its tokens that other sets have too, each behind how many have it.
+    n is a set's size, blob its tokens that other sets have too, each behind how many have it, bytes the blob's length.
     """
     regions = parts(docs.sparkSession)
 
@@ -547,20 +547,22 @@ def neighbourhoods(docs: DataFrame, words: int = WORDS, text: str = "text") -> D
     able = cut(able)
     near = able.mapInArrow(rarest, "region int, blob binary").groupBy("region").applyInArrow(_near, "a long, b long")
     groups = links.components(near).select("node", F.col("root").alias("g"))
-    return able.join(groups, "node").select("g", "node", "n", "blob")
+    # bytes is taken before the join, so that who asks for it alone moves no blobs; the same join at every size
+    return able.withColumn("bytes", F.length("blob").cast("long")).join(groups.hint("merge"), "node").select("g", "node", "n", "bytes", "blob")
 
 
 def join_counts(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """How each neighbourhood is joined: sets, components, pivots, regions, copies (sets in regions) and compared (pairs looked at beside the pivots')."""
     schema = "sets long, components long, pivots long, regions long, copies long, compared long"
-    return neighbourhoods(docs, words, text).groupBy("g").applyInArrow(_counted, schema)
+    return neighbourhoods(docs, words, text).drop("bytes").groupBy("g").applyInArrow(_counted, schema)
 
 
 def linked_sets(docs: DataFrame, words: int = WORDS, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(node, root) of the sets that link to another one; root is the smallest node of a component."""
     members = neighbourhoods(docs, words, text)
-    weights = members.groupBy("g").agg(F.sum(F.length("blob").cast("long")).alias("bytes"))
+    weights = members.groupBy("g").agg(F.sum("bytes").alias("bytes"))
     large = cut(weights.where(F.col("bytes") > group_bytes).select("g"))
+    members = members.drop("bytes")
     if large.isEmpty():
         return members.groupBy("g").applyInArrow(_joined, "node long, root long")
     small = members.join(large, "g", "left_anti").groupBy("g").applyInArrow(_joined, "node long, root long")
