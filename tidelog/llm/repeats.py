@@ -238,8 +238,9 @@ def repeated_starts(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, li
     keyed = keyed.select("tag", "text")
     runs = cut(sampled_runs(keyed, window, gram))
     grams = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("mixed")).where("n > 1")
-    live = cut(runs.join(grams.select("gram", "mixed"), "gram"))
-    discard(runs)
+    grams = cut(grams.select("gram", "mixed"))  # a join of two written tables on a gram that many rows share can be split over tasks
+    live = cut(runs.join(grams, "gram"))
+    discard(runs, grams)
     one = F.min(F.struct("tag", "low", "at", "high")).alias("one")  # the others of a run have the same windows
     equal = cut(live.groupBy("gram", "run").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), one))
     whole = live.join(equal.where("n > 1").select("gram", "run"), ["gram", "run"]).select("tag", "low", "high")
