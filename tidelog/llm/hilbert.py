@@ -70,8 +70,10 @@ def category_step(value: Column, own: list) -> Column:
 
 
 def size_step(size: Column) -> Column:
-    """Two steps for each power of two from 8 bytes up."""
-    return F.least(F.greatest(F.floor(F.log2(size) * 2) - 6, F.lit(0)), F.lit((1 << BITS) - 1)).cast("int")
+    """Two steps for each power of two from 8 bytes up, parted at the root of two; in whole numbers, so that no rounding decides."""
+    power = F.length(F.bin(size)) - 1
+    upper = F.when(size * size >= F.call_function("shiftleft", F.lit(2).cast("long"), 2 * power), 1).otherwise(0)
+    return F.least(F.greatest(2 * power + upper - 6, F.lit(0)), F.lit((1 << BITS) - 1)).cast("int")
 
 
 def share_step(number: Column, total: int) -> Column:

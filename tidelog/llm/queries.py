@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +94,42 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <
         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
 
+#: CRC-32 of a byte's value, for SQL.
+_CRC = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+
+
+def _steps(column: str) -> str:
+    """Steps of a category of at most hilbert.OWN_STEPS values, which is what the tables have."""
+    return f"(SELECT {column}, 1 + (row_number() OVER (ORDER BY count(*) DESC, {column}) - 1) * {(1 << hilbert.BITS) - 1} // count(*) OVER () AS step FROM documents WHERE {column} IS NOT NULL GROUP BY {column})"
+
+
+_SHARDED = f"""
+WITH b AS (SELECT doc_id, lang, source, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, lang, source, octet_length(b) + 8 AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+  lambda c, x: xor(c >> 8, ({_CRC}::BIGINT[])[xor(c & 255, x) + 1]))) AS crc FROM b),
+z AS (SELECT s.*, coalesce(l.step, 0) AS l, coalesce(o.step, 0) AS o, length(bin(size)) - 1 AS e FROM s LEFT JOIN {_steps('lang')} l ON l.lang = s.lang LEFT JOIN {_steps('source')} o ON o.source = s.source),
+c AS (SELECT doc_id, size, crc, ({hilbert.curve()}::INT[])[(l * 32 + o) * 32 + least(31, greatest(0, 2 * e - 6 + CASE WHEN size * size >= CAST(2 AS BIGINT) << (2 * e) THEN 1 ELSE 0 END)) + 1] AS curve FROM z),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id NULLS FIRST, size) - 1 AS rank, count(*) OVER () AS n FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * 24 // n AS INT) AS shard, CAST(rank - (rank * 24 // n * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM r"""
+
 SQL: dict[str, str] = {
+    "op1_fingerprints": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, length(t) // 3 AS k, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS after, coalesce(lead(r) OVER (ORDER BY r), 1) AS s FROM d),
+t AS (SELECT r, 0 AS e, t AS text FROM e UNION ALL SELECT r, 1, left(t, length(t) - k) || left(after, k) FROM e),
+p AS (SELECT r, e, p FROM (SELECT r, e, unnest(string_split(text, chr(10))) AS p FROM t) WHERE p <> ''),
+x AS (SELECT r, e, i, sum(CAST('0x' || substr(h, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) % 4294967296 AS x FROM (SELECT r, e, sha256(p) AS h FROM p) CROSS JOIN range(8) AS n(i) GROUP BY ALL),
+c AS (SELECT r, e, md5(c) AS h FROM (SELECT r, e, unnest(regexp_split_to_array(p, '[.!?;:|]+[ \t\n\x0B\f\r]*')) AS c FROM p) WHERE c <> ''),
+w AS (SELECT r, e, j, CAST('0x' || substr(h, CAST(8 * j + 1 AS INT), 8) AS BIGINT) AS w FROM c CROSS JOIN range(4) AS n(j)),
+y AS (SELECT r, e, 32 * j + b AS i, sum(2 * ((w >> b) & 1) - 1) AS y FROM w CROSS JOIN range(32) AS n(b) GROUP BY ALL),
+fx AS (SELECT t.r, t.e, string_agg(printf('%08x', CAST(coalesce(x, 0) AS BIGINT)), '' ORDER BY n.i) AS f FROM t CROSS JOIN range(8) AS n(i) LEFT JOIN x ON x.r = t.r AND x.e = t.e AND x.i = n.i GROUP BY t.r, t.e),
+fy AS (SELECT t.r, t.e, string_agg(printf('%03x', CAST((coalesce(y, 0) % 4096 + 4096) % 4096 AS BIGINT)), '' ORDER BY n.i) AS f, list(CAST(coalesce(y, 0) AS DOUBLE) ORDER BY n.i) AS v FROM t CROSS JOIN range(128) AS n(i) LEFT JOIN y ON y.r = t.r AND y.e = t.e AND y.i = n.i GROUP BY t.r, t.e),
+f AS (SELECT fx.r, fx.e, fx.f || fy.f AS f, v, list_dot_product(v, v) AS vv FROM fx JOIN fy ON fy.r = fx.r AND fy.e = fx.e)
+SELECT e.doc_id, CAST(length(e.t) AS BIGINT) AS n_chars, sha256(t.text) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+  CASE WHEN a.vv + b.vv = 0 THEN 1.0 ELSE greatest(0.0, 1 - (a.vv + b.vv - 2 * list_dot_product(a.v, b.v)) / (a.vv + b.vv)) END AS near_edited,
+  CASE WHEN a.vv + z.vv = 0 THEN 1.0 ELSE greatest(0.0, 1 - (a.vv + z.vv - 2 * list_dot_product(a.v, z.v)) / (a.vv + z.vv)) END AS near_next
+FROM e JOIN t ON t.r = e.r AND t.e = 1 JOIN f a ON a.r = e.r AND a.e = 0 JOIN f b ON b.r = e.r AND b.e = 1 JOIN f z ON z.r = e.s AND z.e = 0""",
+    "op5_hilbert_shards": _SHARDED,
     "op2_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
 sig AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM s GROUP BY doc_id),
