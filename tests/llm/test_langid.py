@@ -105,3 +105,47 @@ def test_counts_that_leave_a_task_early(spark, monkeypatch):
     parted = langid.train(df)
     for a, b in zip(whole.bits, parted.bits, strict=True):
         assert all((x == y).all() for p, q in zip(a.orders, b.orders, strict=True) for x, y in zip(p, q, strict=True))
+
+
+SCRIPTS = {"latin": range(0x61, 0x7B), "greek": range(0x3B1, 0x3CA), "cyrillic": range(0x430, 0x450), "hebrew": range(0x5D0, 0x5EB), "arabic": range(0x627, 0x64B), "devanagari": range(0x915, 0x93A), "thai": range(0xE01, 0xE2F), "kana": range(0x3042, 0x3094), "hangul": range(0xAC00, 0xAC40), "han": range(0x4E00, 0x4E60)}
+
+
+def test_sixty_languages_of_ten_scripts(spark):
+    """Six languages to a script, told apart by their words alone; predictions equal the least code length by a plain walk."""
+    rnd = random.Random(12)
+    vocabulary = {}
+    for script, letters in SCRIPTS.items():
+        for k in range(6):
+            vocabulary[f"{script}{k}"] = ["".join(chr(rnd.choice(letters)) for _ in range(rnd.randrange(3, 8))) for _ in range(12)]
+    rows = [(" ".join(rnd.choices(words, k=40)), lang) for lang, words in vocabulary.items() for _ in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert len(model.langs) == 60 and model.size == 256
+    tests = [(" ".join(rnd.choices(words, k=4)), lang) for lang, words in vocabulary.items()]
+    got = langid.identify(spark.createDataFrame(tests, "text string, lang string"), model).collect()
+    assert [(r.text, r.lang_pred) for r in got if r.lang_pred == r.lang] == tests
+
+    counts = {lang: {} for lang in model.langs}
+    for t, lang in rows:
+        s = [0, 0, 0] + [b + 1 for b in t.lower().encode()]
+        for i in range(3, len(s)):
+            for order in range(4):
+                counts[lang].setdefault(tuple(s[i - order : i]), Counter())[s[i]] += 1
+    look = {lang: type("D", (dict,), {"__missing__": lambda self, k: Counter()})(c) for lang, c in counts.items()}
+    for r in got[::9]:
+        bits = {lang: brute_bits(model, look[lang], r.text.encode()) for lang in model.langs}
+        best = min(bits, key=lambda x: (bits[x], x))
+        assert r.lang_pred == best
+        assert math.isclose(r.score, 1 / sum(2.0 ** -min(1000, b - bits[best]) for b in bits.values()), rel_tol=1e-2)
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = langid.train(spark.createDataFrame([("same words here", "zz"), ("same words here", "aa")], "text string, lang string"))
+    got = langid.identify(spark.createDataFrame([("same words",), ("other",)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["aa", "aa"] and all(abs(r.score - 0.5) < 1e-9 for r in got)
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    model = langid.train(spark.createDataFrame([(text(rnd, lang, 200), lang) for lang in WORDS], "text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(text(rnd, "bb", 400_000),)], "text string"), model).first()
+    assert got.lang_pred == "bb" and got.score == 1.0
