@@ -101,7 +101,7 @@ def test_recall_of_planted_secrets(spark):
             value = rnd.choice([drawn(low + up + digit, 24), drawn("0123456789abcdef", 40), "AKIA" + drawn(up + digit, 16), drawn(low + digit, 32), drawn(up + low + digit + "+/", 44)])
             line = rnd.choice(["export APP_TOKEN={}", 'client.secret = "{}"', "Authorization: Bearer {}", "db_password: {}", "AWS_ACCESS_KEY_ID={}", '{{"api_key": "{}"}}'])
         else:
-            value = rnd.choice([drawn("0123456789abcdef", 40), drawn(low, 6) + "-" + drawn(low, 7) + "-" + drawn(low, 8), drawn(digit, 17)])
+            value = rnd.choice([drawn("0123456789abcdef", 40), "-".join(rnd.sample(["house", "water", "light", *(w for w in t.lower().split() if w.isalpha() and len(w) > 4)], 3)), drawn(digit, 17)])
             line = rnd.choice(["commit {}", "sha1 checksum {}", "see https://www.example.org/path/{}/index.html", "order {}"])
         at = t.index(" ", len(t) // 2 if " " in t[len(t) // 2 :] else 0)
         planted[i] = (value, true)
